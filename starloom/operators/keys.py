@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,17 @@ def with_row_number(df: DataFrame, name: str, start: int = 1) -> DataFrame:
     return keyed.withColumn(name, F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__place", "__before")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A copy in the shared checkpoint folder; only a session that names none gets a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="starloom-checkpoint-"))
+    return df.checkpoint()
+
+
 def numbered_by(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Add numbers from 1 in the order of keys that are unique together: a range sort, then counts of its partitions."""
-    return with_row_number(df.sort(*keys), name)
+    """Add numbers from 1 in the order of keys that are unique together: a range sort, then counts of its partitions.
+
+    The sorted rows are checkpointed: run twice, a shuffle that reads other columns may be cut into other partitions.
+    """
+    return with_row_number(checkpointed(df.sort(*keys)), name)

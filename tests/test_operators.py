@@ -110,6 +110,13 @@ def test_row_numbers(spark):
     assert [r.n for r in got] == list(range(11, 1011)) and [r.id for r in got] == list(range(1000))
     assert [r.n for r in keys.numbered_by(spark.range(50).select((50 - F.col("id")).alias("k")), "n", "k").orderBy("k").collect()] == list(range(1, 51))
     assert keys.with_row_number(spark.range(0), "n").collect() == []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shuffled = spark.range(3000).select((F.col("id") * 7919 % 3001).alias("k"), F.lit("x" * 50).alias("wide"))
+        many = keys.numbered_by(shuffled, "n", "k")
+        assert many.rdd.getNumPartitions() > 1 and [r.n for r in many.orderBy("k").collect()] == list(range(1, 3001))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_csv(spark, tmp_path):
