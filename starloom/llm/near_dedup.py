@@ -9,10 +9,11 @@ their weighted Jaccard similarity.
 
 Texts with the same words are one text at first.  Others meet in buckets of equal bands.  Each is
 compared, by its shingles, with the least id of each of its buckets and with an id drawn for each.
-Where texts of a bucket are then still in different components, those of a small bucket meet all
-the rest; those of a large one are divided by one more band each, so that the most similar meet,
-and are compared with ids drawn from their parts.  So a bucket gives as many comparisons as it
-has texts, however many those are.
+All texts of a bucket, of whatever size, that are then still in different components meet in a
+second turn: a bucket is dealt into parts, and every two parts meet in a cell of their own, so a
+text is sent once for each part and no task holds more than two parts.  Two texts of several
+common buckets are compared in the first of them alone.  So no link inside a bucket is lost; the
+comparisons of texts that stay unconnected are as many as their pairs.
 """
 
 from __future__ import annotations
@@ -23,14 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, column, map_texts, mix, shingles, star_groups, words_of
+from .common import GROUP_WORDS, checkpoint, column, map_texts, mix, shingles, star_groups, words_of
 from .components import components
 
 #: Words of a shingle, least similarity, bands, and components in a band: 0.8 misses all bands once in 100,000 times.
 SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 16, 3
 SLOTS = BANDS * ROWS
-#: A bucket of at most so many texts compares all of them that are not connected; a larger one is divided by one more band.
-SMALL = 16
 _UNIT = 2.0**-53
 
 
@@ -130,22 +129,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = checkpoint(_verify(_pairs(met, F.array("least", "drawn")), texts))
     labels = components(links)
     named = met.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    split = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-    named = checkpoint(named.join(split, "bucket").select("bucket", "doc_id", "n_words", "label", "size"))
-    # texts of small buckets meet all others that they are not connected with
-    small = named.filter(F.col("size") <= SMALL)
-    other = small.select("bucket", F.col("doc_id").alias("centre"), F.col("label").alias("theirs"))
-    pairs = small.join(other, "bucket").filter("label <> theirs and doc_id > centre").select("doc_id", "centre", "n_words")
-    # those of large buckets meet ids drawn anew from them and from finer ones, of two bands each
-    large = named.filter(F.col("size") > SMALL)
-    finer = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.element_at("bands", i + 1), F.element_at("bands", (i + 1) % BANDS + 1)))
-    fine = large.select("doc_id", "n_words", "label").distinct().join(reps.select("doc_id", "bands"), "doc_id")
-    fine = fine.select(F.explode(finer).alias("bucket"), "doc_id", "n_words", "label")
-    for some in (large.select("bucket", "doc_id", "n_words", "label"), checkpoint(fine)):
-        order = F.xxhash64(F.lit(1), "bucket", "doc_id")
-        centres = some.groupBy("bucket").agg(F.min_by("doc_id", order).alias("centre"), F.min_by("label", order).alias("theirs"))
-        pairs = pairs.unionByName(some.join(centres, "bucket").filter("label <> theirs").select("doc_id", "centre", "n_words"))
-    found = checkpoint(_verify(pairs.withColumnRenamed("doc_id", "member").distinct(), texts))
+    named = checkpoint(named.filter("doc_id <> least and doc_id <> drawn").select("bucket", "doc_id", "n_words", "label"))  # those two have met the bucket
+    split = named.groupBy("bucket").agg(F.ceil(F.sum(F.col("n_words") + 20) / GROUP_WORDS).alias("parts"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    found = checkpoint(_meet(named.join(split.select("bucket", "parts"), "bucket"), reps.select("doc_id", "bands"), texts))
     if not found.isEmpty():
         links = checkpoint(links.unionByName(found).dropDuplicates(["a", "b"]))
         labels = components(links)
@@ -162,6 +148,53 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").dropDuplicates(["a", "b"])
 
 
+def _meet(named: DataFrame, bands: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts of a bucket that have different labels; named has (bucket, doc_id, label, parts)."""
+    part, other = F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    dealt = named.select("bucket", "doc_id", "label", part, other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    sent = dealt.drop("other").join(texts.join(bands, "doc_id"), "doc_id")
+    names, types = ["a", "b", "similarity"], [pa.int64(), pa.int64(), pa.float64()]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(np.unique(table["doc_id"].to_numpy(), return_index=True)[1])
+        ids, labels, parts = (table[n].to_numpy() for n in ("doc_id", "label", "part"))
+        bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(ids), BANDS)
+        out = list(zip(*_cell(table["bucket"][0].as_py(), ids, labels, parts, bands, table["text"].cast(pa.binary()).to_pylist()), strict=True)) or [[], [], []]
+        return pa.table({n: pa.array(c, type=t) for n, c, t in zip(names, out, types, strict=True)})
+
+    return sent.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long, similarity double")
+
+
+def _cell(bucket: int, ids: np.ndarray, labels: np.ndarray, parts: np.ndarray, bands: np.ndarray, texts: list[bytes]):
+    """Links of a cell: of one part all pairs, of two those across, where labels differ and no band before the bucket's is common."""
+    band, across = int((bands == bucket).any(axis=0).argmax()), parts.min() < parts.max()
+    if (labels == labels[0]).all():
+        return
+    words = words_of(texts)
+    sets = [multiset(words.hash[words.begin[d] : words.begin[d + 1]]) for d in range(len(texts))]
+    size = np.array([len(i) for i, _ in sets])
+    total = np.array([c.sum() for _, c in sets])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    _, item = np.unique(np.concatenate([i for i, _ in sets]), return_inverse=True)
+    count, of = np.concatenate([c for _, c in sets]), np.repeat(np.arange(len(ids)), size)
+    order = np.argsort(item, kind="stable")
+    held, times, first = of[order], count[order], np.concatenate([[0], np.cumsum(np.bincount(item))])
+    for d in range(len(ids) - 1):
+        meets = labels[d + 1 :] != labels[d]
+        if across:
+            meets &= parts[d + 1 :] != parts[d]
+        meets &= ~(bands[d + 1 :, :band] == bands[d, :band]).any(axis=1)
+        if not meets.any():
+            continue
+        own = item[begin[d] : begin[d + 1]]
+        n = first[own + 1] - first[own]
+        at = np.arange(n.sum()) + np.repeat(first[own] - np.cumsum(n) + n, n)
+        both = np.bincount(held[at], np.minimum(times[at], np.repeat(count[begin[d] : begin[d + 1]], n)), len(ids))[d + 1 :]
+        near = both / (total[d] + total[d + 1 :] - both)
+        for e in np.flatnonzero(meets & (near >= SIMILAR)).tolist():
+            yield int(ids[d]), int(ids[d + 1 + e]), float(near[e])
+
+
 def _classes(signed: DataFrame, reps: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
     ends = links.select(F.explode(F.array("a", "b")).alias("rep_id")).groupBy("rep_id").agg(F.count("*").alias("n_links"))
     marks = checkpoint(ends.join(labels.select(F.col("id").alias("rep_id"), F.col("label").alias("class_id")), "rep_id"))

@@ -177,6 +177,20 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(df.filter("doc_id > 9999")).collect() == []
 
 
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    rng = random.Random(12)
+    base, rows = sentence(rng, "en", 100).split(), []
+    for _ in range(120):  # pairs that only their own link connects, in buckets of many
+        mother = mutate(rng, base, 3)
+        rows += [mother, mutate(rng, mother, 1)]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w), "en") for i, w in enumerate(rows)]
+    want = brute_classes(rows)
+    for words in (near_dedup.GROUP_WORDS, 3000):
+        monkeypatch.setattr(near_dedup, "GROUP_WORDS", words)
+        assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(90, 70), (70, 80), (5, 5)], "a long, b long")
     got = {r["id"]: r["label"] for r in components(links).collect()}
