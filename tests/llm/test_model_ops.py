@@ -255,6 +255,29 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(frame(spark, table[2:3])).collect() == []
 
 
+def test_one_seed_is_enough(spark):
+    rng = random.Random(21)
+    rows = {}
+    for k in range(0, 300, 2):
+        passage = [f"p{rng.randrange(10**9)}" for _ in range(60)]
+        other = [w if rng.random() > 0.1 else f"x{rng.randrange(10**9)}" for w in passage]
+        for d, some in ((k, passage), (k + 1, other)):
+            rows[d] = [f"u{rng.randrange(10**9)}" for _ in range(40)] + some + [f"u{rng.randrange(10**9)}" for _ in range(40)]
+    words = words_of([" ".join(rows[d]).encode() for d in sorted(rows)])
+    hashes = [words.hash[words.begin[d] : words.begin[d + 1]] for d in range(len(rows))]
+    ks = [substring_dedup.kmers(h) for h in hashes]
+    found = [{*substring_dedup.winnow(k)[0].tolist()} for k in ks]
+    want, single = set(), 0
+    for d in range(1, len(rows), 2):
+        if found[d] & found[d - 1]:
+            spans = substring_dedup.join_spans([(s, e, 0) for s, e, _, _ in substring_dedup.shared_spans(hashes[d], hashes[d - 1], ks[d], ks[d - 1])])
+            long = [d for s, e, _ in spans if e - s >= 50]
+            want |= {*long}
+            single += bool(long) and len(found[d] & found[d - 1]) == 1
+    got = substring_dedup.repeated_passages(frame(spark, [(d, " ".join(w), "en") for d, w in rows.items()])).collect()
+    assert single and want <= {r["doc_id"] for r in got}
+
+
 # pipeline
 def test_pipeline(spark, tmp_path):
     rng = random.Random(10)
