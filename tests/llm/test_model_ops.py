@@ -211,6 +211,21 @@ def test_chains_follow_order():
     assert best == [(0, 100, 20), (22, 122, 20), (45, 145, 10)]
 
 
+def test_chains_take_the_best_within_reach():
+    parts = [(0, 0, 100), (150, 150, 10), (165, 165, 10)]
+    assert substring_dedup.chains(parts, 400) == [[(0, 0, 100)], parts[1:]]
+    rng, cost, most, k = random.Random(4), substring_dedup.GAP_COST, substring_dedup.GAP_MOST, substring_dedup.KMER
+    for _ in range(60):
+        parts = sorted({(rng.randrange(200), rng.randrange(200), rng.randrange(k, 40)) for _ in range(40)})
+        score = []
+        for i, j, n in parts:
+            fits = [s - cost * (i + j - a - b - 2 * m) for (a, b, m), s in zip(parts, score, strict=False) if 1 - k <= i - a - m <= most and 1 - k <= j - b - m <= most]
+            score.append(n + max(0, *fits, 0))
+        best = substring_dedup.chains(parts, 300)[0]
+        got = sum(n for *_, n in best) - cost * sum(c - a - m + d - b - m for (a, b, m), (c, d, _) in zip(best, best[1:], strict=False))
+        assert abs(got - max(score)) < 1e-6
+
+
 def test_winnowing_guarantee():
     rng = random.Random(9)
     shared = sentence(rng, "en", 50).split()
