@@ -114,9 +114,8 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         _, boiler, container = stack[-1]
         if tag in ("article", "main", "section", "div", "body", "td", "ul", "ol"):
             n_containers += 1
-            container = container if container < 0 else n_containers
-            if tag in ("article", "main"):
-                container = -n_containers
+            if container >= 0:  # an article or main inside another belongs to the outer one
+                container = -n_containers if tag in ("article", "main") else n_containers
         stack.append((tag, boiler or _is_boilerplate(tag, m["rest"]), container))
         if len(stack) > 5000:  # deeper than any browser nests
             del stack[1]
@@ -129,14 +128,14 @@ def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     length = [n for _, n, _ in lines]
     sums = [sum(length[i : i + BLOCK]) for i in range(len(lines))]
-    passages: list[tuple[int, int]] = []  # from a surge to a dive
+    passages: list[tuple[int, int]] = []  # lines that follow one another, all of one article or all outside
     at = 0
     while at < len(lines):
         if not length[at]:
             at += 1
             continue
         end = at
-        while end < len(lines) and sums[end] and length[end]:
+        while end < len(lines) and length[end] and min(0, lines[end][2]) == min(0, lines[at][2]):
             end += 1
         passages.append((at, end))
         at = end
@@ -144,8 +143,15 @@ def main_text(html: str | None) -> str:
         return ""
     mass = {p: sum(length[p[0] : p[1]]) for p in passages}
     core = max(passages, key=lambda p: (lines[p[0]][2] < 0, mass[p], -p[0]))
-    home = lines[core[0]][2]
-    kept = [p for p in passages if lines[p[0]][2] == home or home >= 0 and mass[p] >= SHARE * mass[core]]
+    held: dict[int, int] = {}
+    for i in range(*core):
+        held[lines[i][2]] = held.get(lines[i][2], 0) + length[i]
+    home = max(held, key=lambda c: held[c])
+    at_home = [p for p in passages if any(lines[i][2] == home for i in range(*p))]
+    least = SHARE * (sum(mass[p] for p in at_home) if home < 0 else mass[core])
+    kept = [p for p in passages if p in at_home or mass[p] >= least]
+    if home >= 0:  # short ones between kept ones are the article's too
+        kept = [p for p in passages if kept[0] <= p <= kept[-1]]
     return "\n".join(lines[i][0] for s, e in kept for i in range(s, e))
 
 

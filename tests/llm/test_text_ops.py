@@ -128,6 +128,18 @@ def test_extraction(spark):
     assert html_extract.extract_pages(df.filter("page_id > 99")).collect() == []
 
 
+def test_no_part_of_an_article_is_lost():
+    long = "<p>" + "text " * 40 + "</p>"
+    for page, want in (
+        ("<main><h1>T</h1><article><p>A</p><div class=ad>Buy</div><p>B</p></article></main>", ["T", "A", "B"]),
+        ("<main><p>Intro</p><aside>Not</aside><article>" + long + "</article></main>", ["Intro", "text " * 39 + "text"]),
+        ("<body><div>" + long + "</div><div class=ad>Buy</div><section><p>Short.</p></section><div class=ad>Buy</div><div>" + long + "</div></body>", ["text " * 39 + "text", "Short.", "text " * 39 + "text"]),
+        ("<article>" + long + "</article><div class=ad>Buy</div><article>" + long + "</article>", ["text " * 39 + "text"] * 2),
+        ("<div>Call us</div><article>" + long + "</article>", ["text " * 39 + "text"]),
+    ):
+        assert html_extract.main_text(page).split("\n") == want
+
+
 def test_extraction_is_linear():
     html_extract.main_text("<p>" * 20_000 + "x" + "<a '" * 2000)
 
