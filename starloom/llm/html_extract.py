@@ -1,10 +1,12 @@
-"""HTML extraction by line-block distribution.
+"""HTML extraction by block lines, their marks and their containers.
 
 Markup is stripped so that each block element becomes one line; text of links, of boilerplate
-elements and of markup itself leaves no length on its line.  The lengths of ``BLOCK`` lines that
-follow one another are summed; where the sums surge from nothing a passage begins, where they dive
-to nothing it ends.  The passage with most text is the core; passages that begin in the same
-container as the core, and passages with at least ``SHARE`` of its text, are kept with it.
+elements and names and of markup itself leaves no length on its line.  A passage is a run of lines
+with length, all of one article or all outside.  This is not line-block distribution: no sum over
+windows of lines is tested, as a threshold of sums lets marked lines in and short paragraphs out.
+The passage with most text, of an article if there is one, is the core.  Passages that hold lines
+of its container, and those with at least ``SHARE`` of its text, are kept, and outside articles
+also those between kept ones.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import column, map_texts
 
-#: Lines of a window, and the share of the core's text that makes another passage an article's part.
-BLOCK, SHARE = 2, 0.25
+#: The share of the core's text that makes another passage an article's part.
+SHARE = 0.25
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -127,7 +129,6 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     length = [n for _, n, _ in lines]
-    sums = [sum(length[i : i + BLOCK]) for i in range(len(lines))]
     passages: list[tuple[int, int]] = []  # lines that follow one another, all of one article or all outside
     at = 0
     while at < len(lines):
