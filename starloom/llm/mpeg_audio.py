@@ -186,9 +186,10 @@ def parse(data: bytes) -> Audio:
             continue
         stream = h.version, h.layer, h.rate
         frame_head = data[at : at + 38]
-        if h.checked and (fine := good.get(frame_head if h.layer == 3 else frame_head[:22])) is None:
+        covered = frame_head[:22] if h.layer == 1 and h.channels == 1 else frame_head  # all that a checksum can depend on
+        if h.checked and (fine := good.get(covered)) is None:
             part = _protected(h, data[at + 3], frame_head)
-            fine = good[frame_head if h.layer == 3 else frame_head[:22]] = part is None or crc16(part) == int.from_bytes(frame_head[4:6], "big")
+            fine = good[covered] = part is None or crc16(part) == int.from_bytes(frame_head[4:6], "big")
         if h.checked:
             checked += 1
             wrong += not fine
@@ -246,7 +247,7 @@ def parse_media(df: DataFrame, media_col: str = "media") -> DataFrame:
             "checked": [a.checked for a in read],
             "wrong": [a.wrong for a in read],
             "skipped": [a.skipped for a in read],
-            "seek_offsets": pa.array([a.offsets[:: max(1, -(-len(a.offsets) // SEEK_ENTRIES))] for a in read], pa.list_(pa.int64())),
+            "seek_offsets": pa.array([a.offsets for a in read], pa.list_(pa.int64())),
         }
         return {k: v if isinstance(v, pa.Array) else pa.array(v, pa.string() if k.endswith("256") else pa.int64()) for k, v in out.items()}
 

@@ -205,6 +205,20 @@ def test_audio_damage():
     assert mpeg_audio.parse(media + b"TAG" + b"Song".ljust(125, b"\0")).tags["TIT2"] == "Song"
 
 
+def test_stereo_checksums_and_all_offsets(spark):
+    head, bits = bytes([0xFF, 0xFE, 0x48, 0x00]), bytes(32)  # Layer I, 32,000 Hz, stereo, with checksums
+    size = mpeg_audio.header(head).size
+    frame = bytearray((head + mpeg_audio.crc16(head[2:] + bits).to_bytes(2, "big") + bits).ljust(size, b"\0"))
+    damaged = bytearray(frame)
+    damaged[30] ^= 1  # behind the bytes that a mono frame protects
+    a = mpeg_audio.parse(bytes(frame + damaged + frame))
+    assert (a.checked, a.wrong) == (3, 1)
+    media = mpeg_audio.encode(mpeg_audio.pad(b"x" * 90_000))
+    offsets = mpeg_audio.parse(media).offsets
+    [row] = mpeg_audio.parse_media(spark.createDataFrame([(1, bytearray(media))], "doc_id long, media binary")).collect()
+    assert len(offsets) > 2 * mpeg_audio.SEEK_ENTRIES and row["seek_offsets"] == offsets and row["frames"] == len(offsets)
+
+
 def test_layer_three():
     head = bytes([0xFF, 0xFB, 0x90, 0x00])  # 128 kbit/s, 44,100 Hz, stereo
     first = bytearray(head.ljust(417, b"\0"))
