@@ -24,8 +24,6 @@ from .common import checkpoint, hash_runs, rows_of
 
 #: Tokens of a sequence, pieces of a group, and units whose ids a worker remembers (some 40 bytes each).
 CAPACITY, GROUP, REMEMBERED = 2048, 4000, 2_000_000
-#: Passes of the local search at most.
-PASSES = 4
 #: Bytes of text tokenised at once.
 STEP = 6 << 20
 
@@ -182,12 +180,12 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
 
     From the emptiest on, each bin gives to fuller ones: a piece moves, or one piece or two replace
     a smaller one.  Each step raises the sum, as the giver is the emptier.  A pass ends when no bin
-    can give; passes end when one changes nothing, or after ``PASSES``.
+    can give; passes end when one changes nothing, which comes as the sum grows with each step.
     """
     fill = [sum(lengths[i] for i in b) for b in bins]
     kind = [tuple(sorted(lengths[i] for i in b)) for b in bins]
     vain: set[tuple] = set()  # kinds of bins that have nothing to exchange
-    for _ in range(PASSES):
+    while True:
         open_bins, changed, at = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b]), False, 0
         while at < len(open_bins) - 1:
             giver = open_bins[at]
@@ -223,7 +221,8 @@ def _exchange(giver: list[int], taker: list[int], lengths: list[int], room: int)
     mine = sorted((lengths[i], i) for i in giver)
     at = bisect_right(mine, (room, len(lengths)))
     best, step = (mine[at - 1][0], ((mine[at - 1][1],), ())) if at else (0, None)
-    pairs = [((lengths[a] + lengths[b]), (a, b)) for x, a in enumerate(giver) for b in giver[x + 1 :]] if len(giver) <= 64 else []
+    many = np.array([n for n, _ in mine]) if len(giver) > 64 else None  # too many pairs to list: the best is looked up for each goal
+    pairs = [((lengths[a] + lengths[b]), (a, b)) for x, a in enumerate(giver) for b in giver[x + 1 :]] if many is None else []
     offers = sorted([(n, (i,)) for n, i in mine] + pairs)
     for i in taker:
         if best == room:
@@ -231,9 +230,21 @@ def _exchange(giver: list[int], taker: list[int], lengths: list[int], room: int)
         at = bisect_right(offers, lengths[i] + room, key=lambda o: o[0])
         if at and (gain := offers[at - 1][0] - lengths[i]) > best:
             best, step = gain, (offers[at - 1][1], (i,))
+        if many is not None and (two := _best_pair(many, lengths[i] + room)) and (gain := int(many[two[0]] + many[two[1]]) - lengths[i]) > best:
+            best, step = gain, ((mine[two[0]][1], mine[two[1]][1]), (i,))
     return step
 
 
+def _best_pair(ordered: np.ndarray, most: int) -> tuple[int, int] | None:
+    """Places of two lengths, in order, whose sum is the greatest of at most ``most``."""
+    other = np.searchsorted(ordered, most - ordered, side="right") - 1
+    first = np.flatnonzero(other > np.arange(len(ordered)))
+    if not len(first):
+        return None
+    x = first[np.argmax(ordered[first] + ordered[other[first]])]
+    return int(x), int(other[x])
+
+
 def pack_group(rows: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
     """Add sequence_id (from 0) and offset to the pieces of one group."""
     rows = rows.sort_values(["doc_id", "piece"]).reset_index(drop=True)

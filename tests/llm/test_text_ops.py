@@ -269,3 +269,14 @@ def test_local_search_empties_bins():
         after = packing.local_search([list(b) for b in first], lengths, 2048)
         assert len(after) <= len(first) and sorted(i for b in after for i in b) == list(range(300))
         assert all(sum(lengths[i] for i in b) <= 2048 for b in after)
+
+
+def test_local_search_goes_on_until_nothing_changes():
+    rng = random.Random(7782)
+    capacity, n = rng.choice([30, 60, 100]), rng.randrange(10, 50)
+    lengths = [rng.randrange(1, capacity // 2) for _ in range(n)]
+    after = packing.local_search([[i] for i in range(n)], lengths, capacity)
+    assert len(after) == 11 and packing.local_search([list(b) for b in after], lengths, capacity) == after
+    lengths = [10] * 70 + [15]  # two pieces of a giver of many for one
+    given, back = packing._exchange(list(range(70)), [70], lengths, 5)
+    assert len(given) == 2 and back == (70,)
