@@ -1,18 +1,23 @@
-"""HTML extraction by block lines, their marks and their containers.
-
-Markup is stripped so that each block element becomes one line; text of links, of boilerplate
-elements and names and of markup itself leaves no length on its line.  A passage is a run of lines
-with length, all of one article or all outside.  This is not line-block distribution: no sum over
-windows of lines is tested, as a threshold of sums lets marked lines in and short paragraphs out.
-The passage with most text, of an article if there is one, is the core.  Passages that hold lines
-of its container, and those with at least ``SHARE`` of its text, are kept, and outside articles
-also those between kept ones.
+"""HTML extraction by line-block distribution.
+
+Markup is stripped so that each block element becomes one line and each border of a grouping
+element (div, section, article, ...) an empty one.  A line weighs as much as it has characters
+outside links.  Elements that hold no article (nav, footer, form, ...) and lines of links weigh
+nothing; lines of an article or main element weigh ``SURGE`` more; outside those, a line whose
+class or id names boilerplate weighs ``NAMED`` of its length.  Weights are summed over windows of
+``WINDOW`` lines.  A passage surges where a line's window sums up to ``SURGE``, reaching back to
+the border before it, and dives at the first border whose window sums up to less.  The passages of
+the article are kept; on a page without one, those of at least ``SHARE`` of the longest passage and
+the unnamed lines between them.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,13 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import column, map_texts
 
-#: The share of the core's text that makes another passage an article's part.
-SHARE = 0.25
+#: Lines of a window, least sum of a surge, the part of its length that a named line weighs, and the share of the longest passage that makes another one part of the page's text.
+WINDOW, SURGE, NAMED, SHARE = 2, 86, 0.1, 0.25
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas textarea select title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input meta link".split())
+BORDERED = frozenset("body div section article main table td".split())
+HOME = frozenset("article main".split())
 BOILER = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 CLOSED_BY_SIBLING = {"p": frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
@@ -35,55 +42,69 @@ BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer disqus dialog footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup privacy promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar tracking widget".split()
 )
 
+# Every alternative takes all that it looks at (or the rest of the page), so a page is read once.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|object|svg|math|canvas|textarea|select|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[a-zA-Z!?/][^>]*>",
-    re.S | re.I,
+    r"<!--(?:.*?-->|.*)"
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
+    re.S,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
-
-
-def _is_boilerplate(tag: str, rest: str) -> bool:
-    if tag in BOILER:
-        return True
-    if not rest or rest.isspace() or tag in ("html", "body", "article", "main"):
-        return False
-    for name, *values in _ATTRIBUTE.findall(rest):
-        name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and not BOILER_NAMES.isdisjoint(_NAME.findall(value)):
-            return True
-        if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
-
-
-def lines_of(html: str) -> list[tuple[str, int, int]]:
-    """(text, its length or 0 for boilerplate and lines of links, container) for each block, in page order.
-
-    Containers are numbered; an article or main element and all in it have one number, under 0.
-    """
-    lines: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, in boilerplate, container
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+class Line(NamedTuple):
+    text: str  # empty for a border
+    weight: float  # 0 for what is never kept
+    home: bool = False  # of an article
+    named: bool = False
+
+
+class _Open(NamedTuple):
+    tag: str
+    skip: bool = False
+    named: bool = False
+    home: bool = False
+
+
+def _enter(tag: str, rest: str, outer: _Open) -> _Open:
+    """The element with what it inherits and what its own name and attributes say."""
+    home = outer.home or tag in HOME
+    skip = outer.skip or tag in BOILER and not (tag == "header" and outer.home)
+    named = outer.named and not home
+    if rest and not rest.isspace() and tag not in HOME and tag not in ("html", "body"):
+        for name, *values in _ATTRIBUTE.findall(rest):
+            name, value = name.lower(), "".join(values).lower()
+            if name in ("class", "id") and not BOILER_NAMES.isdisjoint(_NAME.findall(value)):
+                skip, named = skip or home, not home
+            elif name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
+                skip = True
+    return _Open(tag, skip, named, home)
+
+
+def lines_of(html: str) -> list[Line]:
+    """The page's lines and borders, in order."""
+    lines: list[Line] = []
+    stack, depth = [_Open("")], Counter()
     text: list[str] = []
-    linked, n_containers, at, in_link = 0, 0, 0, 0
+    linked, in_link, at = 0, False, 0
 
-    def end_line() -> None:
+    def end_line(border: bool = False) -> None:
         nonlocal linked
         whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         if whole:
-            _, boiler, container = stack[-1]
-            menu = linked * 2 > len(whole) and container >= 0
-            lines.append((whole, 0 if boiler or menu else len(whole), container))
+            inside = stack[-1]
+            weight = 0.0 if inside.skip else len(whole) + SURGE if inside.home else 0.0 if linked * 2 > len(whole) else (len(whole) - linked / 2) * (NAMED if inside.named else 1)
+            lines.append(Line(whole, weight, inside.home, inside.named))
+        if border:
+            lines.append(Line("", 0.0))
         text.clear()
         linked = 0
 
-    for m in _MARKUP.finditer(html):
+    while m := _MARKUP.search(html, at):
         if m.start() > at:
             piece = html[at : m.start()]
             text.append(piece)
@@ -93,78 +114,100 @@ def lines_of(html: str) -> list[tuple[str, int, int]]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if tag in RAW and not m["close"] and not (tag in ("svg", "math") and m["rest"].endswith("/")):
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
+            continue
         if tag == "a":
-            in_link = 0 if m["close"] else 1
+            in_link = not m["close"]
         if tag == "br":
             text.append(" ")
-        if tag in INLINE and not (tag not in VOID and not m["close"] and _is_boilerplate(tag, m["rest"])) and not (m["close"] and stack[-1][0] == tag):
-            continue
         if m["close"]:
-            if any(t == tag for t, _, _ in stack):
-                end_line()
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+            if depth[tag]:
+                if tag not in INLINE or stack[-1].tag == tag:
+                    end_line()
+                    while True:
+                        gone = stack.pop().tag
+                        depth[gone] -= 1
+                        if gone in BORDERED:
+                            end_line(border=True)
+                        if gone == tag:
+                            break
             elif tag not in INLINE:
                 end_line()
             continue
+        if tag in INLINE:
+            if tag in VOID or not ((inside := _enter(tag, m["rest"], stack[-1])).skip or inside.named) or inside[1:] == stack[-1][1:]:
+                continue
         end_line()
         if tag in VOID:
             continue
-        while len(stack) > 1 and tag in CLOSED_BY_SIBLING.get(stack[-1][0], ()):
-            stack.pop()
-        _, boiler, container = stack[-1]
-        if tag in ("article", "main", "section", "div", "body", "td", "ul", "ol"):
-            n_containers += 1
-            if container >= 0:  # an article or main inside another belongs to the outer one
-                container = -n_containers if tag in ("article", "main") else n_containers
-        stack.append((tag, boiler or _is_boilerplate(tag, m["rest"]), container))
-        if len(stack) > 5000:  # deeper than any browser nests
-            del stack[1]
+        while len(stack) > 1 and tag in CLOSED_BY_SIBLING.get(stack[-1].tag, ()):
+            gone = stack.pop().tag
+            depth[gone] -= 1
+            if gone in BORDERED:
+                end_line(border=True)
+        if tag in BORDERED:
+            end_line(border=True)
+        stack.append(_enter(tag, m["rest"], stack[-1]))
+        depth[tag] += 1
     text.append(html[at:])
     end_line()
     return lines
 
 
-def main_text(html: str | None) -> str:
-    lines = lines_of(html or "")
-    length = [n for _, n, _ in lines]
-    passages: list[tuple[int, int]] = []  # lines that follow one another, all of one article or all outside
-    at = 0
-    while at < len(lines):
-        if not length[at]:
-            at += 1
+def window_sums(weights: list[float], window: int) -> list[float]:
+    """The sum of the weights from each line on."""
+    before = [0.0, *accumulate(weights)]
+    return [before[min(i + window, len(weights))] - before[i] for i in range(len(weights))]
+
+
+def passages(lines: list[Line], window: int = WINDOW, surge: float = SURGE) -> list[tuple[int, int]]:
+    """(first, end) of the lines from each surge to its dive.  Where no window reaches ``surge`` the heaviest one does."""
+    sums = window_sums([x.weight for x in lines], window)
+    surge = min(surge, max(sums, default=0.0))
+    found: list[tuple[int, int]] = []
+    run, start = 0, -1  # the line behind the last border, the first line of an open passage
+    for i, line in enumerate(lines):
+        if line.text:
+            if start < 0 and line.weight and sums[i] >= surge:
+                start = run
             continue
-        end = at
-        while end < len(lines) and length[end] and min(0, lines[end][2]) == min(0, lines[at][2]):
-            end += 1
-        passages.append((at, end))
-        at = end
-    if not passages:
+        if start >= 0 and sums[i] < surge:
+            found.append((start, i))
+            start = -1
+        if start < 0:
+            run = i + 1
+    return [*found, (start, len(lines))] if start >= 0 else found
+
+
+def main_text(html: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
+    lines = lines_of(html or "")
+    length = [len(x.text) if x.weight else 0 for x in lines]
+    found = passages(lines, window, surge)
+    size = {p: sum(length[p[0] : p[1]]) for p in found}
+    unnamed = [p for p in found if 2 * sum(length[i] for i in range(*p) if lines[i].named) <= size[p]]
+    found = unnamed or found
+    if not found:
         return ""
-    mass = {p: sum(length[p[0] : p[1]]) for p in passages}
-    core = max(passages, key=lambda p: (lines[p[0]][2] < 0, mass[p], -p[0]))
-    held: dict[int, int] = {}
-    for i in range(*core):
-        held[lines[i][2]] = held.get(lines[i][2], 0) + length[i]
-    home = max(held, key=lambda c: held[c])
-    at_home = [p for p in passages if any(lines[i][2] == home for i in range(*p))]
-    least = SHARE * (sum(mass[p] for p in at_home) if home < 0 else mass[core])
-    kept = [p for p in passages if p in at_home or mass[p] >= least]
-    if home >= 0:  # short ones between kept ones are the article's too
-        kept = [p for p in passages if kept[0] <= p <= kept[-1]]
-    return "\n".join(lines[i][0] for s, e in kept for i in range(s, e))
-
-
-def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    home = [p for p in found if any(lines[i].home and length[i] for i in range(*p))]
+    rest = max((size[p] for p in found if p not in home), default=0)
+    if home and sum(size[p] for p in home) >= SHARE * rest:
+        return "\n".join(lines[i].text for p in home for i in range(*p) if length[i])
+    kept = {i for p in found if size[p] >= SHARE * rest for i in range(*p) if length[i]}
+    return "\n".join(lines[i].text for i in range(min(kept), max(kept) + 1) if i in kept or length[i] and not lines[i].named)
+
+
+def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", window: int = WINDOW, surge: float = SURGE) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
-    Null, empty and text-free pages give an empty text.  Repeated rows stay, no page is cut, and
-    other columns are left behind.
+    Null, empty and text-free pages give an empty text.  Pages of any length and depth are read
+    whole, in one pass.  Repeated rows stay, of equally long passages all count, and other columns
+    are left behind.  An empty table gives an empty table.
     """
 
     def make(batch, pages):
-        found = [main_text(p.decode() if p is not None else None) for p in pages]
+        found = [main_text(p.decode() if p is not None else None, window, surge) for p in pages]
         return {"page_id": column(batch, "page_id"), "url": column(batch, "url"), "text": pa.array(found, pa.string()), "n_chars": pa.array(map(len, found), pa.int64())}
 
     kind = df.schema[id_col].dataType.simpleString().replace("bigint", "long")
