@@ -1,14 +1,16 @@
 """Toxicity by maximum-scoring segments.
 
 Words and beginnings of words get log-odds of toxic against clean documents, smoothed by a
-Dirichlet prior that follows their frequency; those that clearly speak for toxicity score their
-log-odds, every other word costs ``GAP``.  A linear scan finds every maximal segment of the word
+Dirichlet prior that follows their frequency.  A word scores the log-odds of its feature that most
+clearly speaks for toxicity; any other word scores ``GAP`` less than its log-odds, which count as
+0 where they are positive or unknown.  A linear scan finds every maximal segment of the word
 sequence.  Extreme-value theory calibrates segments: with the decay that the clean background
 gives, a segment of score S is as rare as n * exp(-decay * S) in a text of n words.  What the
 segments of a document add up to goes through a logistic curve fitted to the learning rows.
 
 The counts are taken on the executors over a hash sample of at most about ``MAX_TRAIN`` labelled
-rows; only words that speak for toxicity reach the driver.
+rows; only words that speak for toxicity, or against it in ``KNOWN`` documents or more, reach the
+driver, so what it holds and broadcasts is bounded by the sample.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import column, fold, map_texts, prefix_hashes, rows_of, words_of
+from .common import column, fold, map_texts, prefix_hashes, rows_of, shared, words_of
 
 #: Labelled rows to learn from at most (in expectation).
 MAX_TRAIN = 20_000
 #: Bytes of the beginnings of words that are features as well; flat part of the prior; share of false features to allow; cost of a word.
 PREFIXES, FLAT, FALSE_SHARE, GAP = (4, 5, 6), 0.25, 0.05, 0.7
+#: Documents with a word from which its log-odds count against toxicity.
+KNOWN = 5
 #: The score from which a document counts as toxic.
 THRESHOLD = 0.3
 
@@ -55,31 +59,39 @@ def clear_features(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean:
     return p <= ranked[under[-1]] if len(under) else np.zeros(len(p), bool)
 
 
-def segments(at: list[int], score: list[float], gap: float = GAP) -> list[tuple[int, int, float]]:
+def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) in linear time (Ruzzo and Tompa).
 
-    ``at`` are the words with a positive score; each word between costs ``gap``.
+    Each candidate links to the last one before it that begins lower, so none is looked at again
+    once it is passed over.  Of equal sums the shorter segment is taken.
     """
-    stack: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum with it
-    total, before = 0.0, -1
-    for p, s in zip(at, score, strict=True):
-        total -= gap * (p - before - 1)
-        first, last, left, right = p, p, total, total + s
-        total, before = right, p
+    total = np.cumsum(score)
+    at = np.flatnonzero(score > 0)
+    first: list[int] = []
+    last: list[int] = []
+    left: list[float] = []
+    right: list[float] = []
+    link: list[int] = []
+    for p, low, high in zip(at.tolist(), (total[at] - score[at]).tolist(), total[at].tolist(), strict=True):
+        begin, j = p, len(first) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= left:
-                j -= 1
-            if j < 0 or stack[j][3] >= right:
-                stack.append((first, last, left, right))
+            while j >= 0 and left[j] >= low:
+                j = link[j]
+            if j < 0 or right[j] >= high:
                 break
-            first, left = stack[j][0], stack[j][2]
-            del stack[j:]
-    return [(f, e, r - x) for f, e, x, r in stack]
+            begin, low, back = first[j], left[j], link[j]
+            for some in (first, last, left, right, link):
+                del some[j:]
+            j = back
+        for some, x in ((first, begin), (last, p), (left, low), (right, high), (link, j)):
+            some.append(x)
+    return [(f, e, r - x) for f, e, x, r in zip(first, last, left, right, strict=True)]
 
 
 class Model:
-    def __init__(self, keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int):
+    """Scores of features: ``keys`` speak for toxicity, ``plain`` are words that speak against it."""
+
+    def __init__(self, keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, plain: tuple[np.ndarray, np.ndarray, np.ndarray]):
         order = np.argsort(keys)
         self.keys, self.toxic, self.clean = keys[order], toxic[order], clean[order]
         self.n = n_toxic, n_clean
@@ -88,13 +100,15 @@ class Model:
         self.loo = np.where(self.toxic - 1 >= self.toxic.min(initial=2), fewer, 0)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.decay, self.curve = self._decay(), (1.0, -1.0)
+        order = np.argsort(plain[0])
+        self.plain, self.cost = plain[0][order], np.minimum(0, log_odds(plain[1], plain[2], *self.n))[order]
+        self.decay, self.curve = self._decay(plain[2][order]), (1.0, -1.0)
 
-    def _decay(self) -> float:
+    def _decay(self, clean: np.ndarray) -> float:
         """The positive root of E[exp(decay * score)] = 1 for a word of a clean document (some 200 words long)."""
         live = self.score > 0
-        p = (self.clean[live] + FLAT) / (200.0 * (self.n[1] + 1))
-        s, rest = self.score[live], max(0.0, 1 - p.sum())
+        p = np.concatenate([self.clean[live] + FLAT, clean + FLAT]) / (200.0 * (self.n[1] + 1))
+        s, rest = np.concatenate([self.score[live], self.cost - GAP]), max(0.0, 1 - p.sum())
         low, high = 0.0, 10.0
         for _ in range(60):
             mid = (low + high) / 2
@@ -116,12 +130,19 @@ class Model:
         out = []
         for d in range(len(texts)):
             v = value[1 if known and known[d] else 0, begin[d] : begin[d + 1]]
-            at = np.flatnonzero(v)
-            found = segments(at.tolist(), v[at].tolist())
+            found = segments(self._signed(kinds[0][0][begin[d] : begin[d + 1]], v)) if v.any() else []
             rare = [self.decay * s - math.log(max(1, len(v))) for _, _, s in found]
             out.append((sum(max(0.0, r) for r in rare) or max(rare, default=-math.log(max(1, len(v))) - 1), found))
         return out
 
+    def _signed(self, words: np.ndarray, positive: np.ndarray) -> np.ndarray:
+        """Each word's score: its positive one, or else its log-odds less ``GAP``."""
+        against = np.zeros(len(words))
+        if len(self.plain):
+            at = np.minimum(np.searchsorted(self.plain, words), len(self.plain) - 1)
+            against = np.where(self.plain[at] == words, self.cost[at], 0.0)
+        return np.where(positive > 0, positive, against - GAP)
+
     def probability(self, x: float) -> float:
         a, b = self.curve
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * _squash(x) + b))))
@@ -148,7 +169,10 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
-    """Learn from labelled rows whose crc32 remainder is not 2; null ids, texts and labels teach nothing."""
+    """Learn from labelled rows whose crc32 remainder is not 2; null ids, texts and labels teach nothing.
+
+    Of several labels of an id the highest counts; a repeated document row teaches each time.
+    """
     spark = docs.sparkSession
     marked = labels.filter(F.col(label_col).isNotNull() & F.coalesce(fold(id_col) != 2, F.lit(False)))
     marked = marked.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).alias("y"))
@@ -168,29 +192,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             f, d = f[order], d[order]
             once = np.ones(len(f), bool)
             once[1:] = (f[1:] != f[:-1]) | (d[1:] != d[:-1])
-            f, t = f[once], y[d[once]]
+            f, t, w = f[once], y[d[once]], np.concatenate([np.full(len(h), k == 0) for k, (h, _) in enumerate(kinds)])[order][once]
             head = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.zeros(0, np.int64)
             toxic = np.add.reduceat(t.astype(np.int64), head) if len(f) else head
             both = np.diff(np.append(head, len(f)))
-            yield pa.RecordBatch.from_arrays([pa.array(f[head].view(np.int64)), pa.array(toxic), pa.array(both - toxic)], names=["f", "toxic", "clean"])
+            yield pa.RecordBatch.from_arrays([pa.array(f[head].view(np.int64)), pa.array(w[head]), pa.array(toxic), pa.array(both - toxic)], names=["f", "whole", "toxic", "clean"])
 
     n = {r["y"]: r["n"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    counted = sample.mapInArrow(count, "f long, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.mapInArrow(count, "f long, whole boolean, toxic long, clean long").groupBy("f").agg(F.max("whole").alias("whole"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = (n_toxic + 1) / (n_clean + 1)
     tests = Observation()
     counted = counted.observe(tests, F.count_if(F.col("toxic") + F.col("clean") >= 2).alias("n"))
-    speaking = counted.filter((F.col("toxic") >= 2) & (F.col("toxic") > 1.5 * ratio * F.col("clean"))).toPandas()
-    keys = speaking["f"].to_numpy(np.int64).view(np.uint64)
-    toxic, clean = (speaking[c].to_numpy(np.float64) for c in ("toxic", "clean"))
+    speaks = (F.col("toxic") >= 2) & (F.col("toxic") > 1.5 * ratio * F.col("clean"))
+    against = F.col("whole") & (F.col("toxic") + F.col("clean") >= KNOWN) & (F.col("toxic") < ratio * F.col("clean"))
+    held = counted.withColumn("speaks", speaks).filter(F.col("speaks") | against).toPandas()
+
+    def arrays(rows):
+        return rows["f"].to_numpy(np.int64).view(np.uint64), *(rows[c].to_numpy(np.float64) for c in ("toxic", "clean"))
+
+    keys, toxic, clean = arrays(held[held["speaks"].astype(bool)])
     live = clear_features(toxic, clean, n_toxic, n_clean, int(tests.get["n"] or 0))
-    model = Model(keys[live], toxic[live], clean[live], n_toxic, n_clean)
-    known = spark.sparkContext.broadcast(model)
+    model = Model(keys[live], toxic[live], clean[live], n_toxic, n_clean, arrays(held[~held["speaks"].astype(bool)]))
+    known = shared(spark, model)
 
     def weigh(batches):
         for batch, texts in rows_of(batches, "text"):
             y = batch.column(1).to_pylist()
-            x = [_squash(e) for e, _ in known.value.evidence(texts, y)]
+            x = [_squash(e) for e, _ in known().evidence(texts, y)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array([int(v > 0) for v in y], pa.int32())], names=["x", "y"])
 
     got = sample.mapInArrow(weigh, "x double, y int").groupBy("x", "y").agg(F.count("*").alias("n")).toPandas().sort_values(["x", "y"])
@@ -200,15 +229,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) and passages (first word, last word, score) of every row; null and empty texts have no passage."""
-    known = df.sparkSession.sparkContext.broadcast(model)
+    """doc_id, score (0 to 1) and passages (first word, last word, score) of every row.
+
+    Null and empty texts have no passage and the lowest evidence.  Texts of any length are read
+    whole, in linear time; equal texts get equal scores, repeated rows stay, other columns are left
+    behind, and an empty table gives an empty table.
+    """
+    known = shared(df.sparkSession, model)
     kind = df.schema[id_col].dataType.simpleString().replace("bigint", "long")
     passage = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
 
     def make(batch, texts):
-        got = known.value.evidence(texts)
+        got = known().evidence(texts)
         found = [[{"first": f, "last": e, "score": s} for f, e, s in p] for _, p in got]
-        return {"doc_id": column(batch, "doc_id"), "score": pa.array([known.value.probability(x) for x, _ in got], pa.float64()), "passages": pa.array(found, passage)}
+        return {"doc_id": column(batch, "doc_id"), "score": pa.array([known().probability(x) for x, _ in got], pa.float64()), "passages": pa.array(found, passage)}
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return map_texts(rows, "text", make, f"doc_id {kind}, score double, passages array<struct<first:bigint,last:bigint,score:double>>")
