@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import TABLE, fold, rows_of
+from .common import TABLE, fold, rows_of, shared
 
 #: Labelled rows to learn from at most (in expectation), and the number of features.
 MAX_TRAIN, FEATURES = 2400, 1 << 13
@@ -124,15 +124,15 @@ def has_letter(text: bytes) -> bool:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model:
-    """Fit to rows with a lang and a text whose crc32 remainder is not 2; rows with a null id teach nothing."""
+    """Fit to rows with a lang and a text whose crc32 remainder is not 2; rows with a null id teach nothing.
+
+    Repeated rows teach as often as they occur; an empty table gives a model without languages.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 2))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    each = max_train / max(1, len(sizes))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    shares = sizes.select("lang", (F.lit(max_train / max(1, sizes.count())) / F.col("n")).alias("share"))
+    sample = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
 
     def run(batches):
         for batch, texts in rows_of(batches, "text"):
@@ -153,14 +153,16 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add lang_pred and lang_score to every row; columns with these names give way.
 
-    A text that is null or has no letter is ``und`` with score 0, and so is every text where nothing was learned.
+    A text that is null or has no letter is ``und`` with score 0, and so is every text where nothing
+    was learned.  Texts of any length are read whole; of equal votes and margins the name that
+    comes last in order wins.
     """
     df = df.drop(*[c for c in df.columns if c.lower() in ("lang_pred", "lang_score")])
-    known = df.sparkSession.sparkContext.broadcast(model)
+    known = shared(df.sparkSession, model)
 
     def run(batches):
         for batch, texts in rows_of(batches, text_col):
-            got = [p for at in range(0, len(texts), 128) for p in known.value.predict(texts[at : at + 128])]
+            got = [p for at in range(0, len(texts), 128) for p in known().predict(texts[at : at + 128])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p for p, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
     return df.mapInArrow(run, StructType([*df.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType()))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_texts
+from .common import column, map_texts, shared
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -82,12 +82,17 @@ def split_url(url: bytes | None) -> tuple[str, str]:
 
 
 def url_filter(df: DataFrame, rules: list[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """page_id, host, path, rule (null if none fits) and verdict of every row; repeated rows stay."""
-    index = df.sparkSession.sparkContext.broadcast(RuleIndex(rules))
+    """page_id, host, path, rule (null if none fits) and verdict of every row; repeated rows stay.
+
+    Null and empty urls have an empty host and path.  Urls of any length are judged whole.  An empty
+    table gives an empty table; other columns are left behind.
+    """
+    index = shared(df.sparkSession, RuleIndex(rules))
 
     def make(batch, urls):
         parts = [split_url(u) for u in urls]
-        fits = [index.value.best(*p) for p in parts]
+        best = index().best
+        fits = [best(*p) for p in parts]
         return {
             "page_id": column(batch, "page_id"),
             "host": pa.array([h for h, _ in parts], pa.string()),
