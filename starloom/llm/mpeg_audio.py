@@ -72,15 +72,13 @@ def crc16(data: bytes) -> int:
     return crc
 
 
-def _protected(h: Header, mode: int, frame: bytes) -> bytes | None:
-    """The bytes behind the checksum that it covers, with the header's last two before them."""
+def _protected(h: Header, mode: int, frame: bytes) -> bytes:
+    """The bytes behind the checksum of layer I or III that it covers, with the header's last two before them."""
     if h.layer == 1:
         bound = 4 * (mode >> 4 & 3) + 4 if mode >> 6 == 1 else 32
         n = (bound * h.channels + 32 - bound) // 2
-    elif h.layer == 3:
-        n = {(1, 1): 17, (1, 2): 32, (2, 1): 9, (2, 2): 17}[h.version, h.channels]
     else:
-        return None
+        n = {(1, 1): 17, (1, 2): 32, (2, 1): 9, (2, 2): 17}[h.version, h.channels]
     return frame[2:4] + frame[6 : 6 + n]
 
 
@@ -121,6 +119,7 @@ class Audio(NamedTuple):
     rate: int
     checked: int
     wrong: int
+    unverified: int
     skipped: int
     payload: bytes
 
@@ -174,7 +173,7 @@ def parse(data: bytes) -> Audio:
     tags, at = _tags(data)
     end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) - at >= 128 else len(data)
     offsets, table, parts, good = [], {}, [], {}
-    samples = rate = checked = wrong = skipped = 0
+    samples = rate = checked = wrong = unverified = skipped = 0
     stream = None
     while at + 4 <= end:
         h = header(data[at : at + 4])
@@ -187,10 +186,11 @@ def parse(data: bytes) -> Audio:
         stream = h.version, h.layer, h.rate
         frame_head = data[at : at + 38]
         covered = frame_head[:22] if h.layer == 1 and h.channels == 1 else frame_head  # all that a checksum can depend on
-        if h.checked and (fine := good.get(covered)) is None:
-            part = _protected(h, data[at + 3], frame_head)
-            fine = good[covered] = part is None or crc16(part) == int.from_bytes(frame_head[4:6], "big")
-        if h.checked:
+        if h.checked and h.layer == 2:
+            unverified += 1
+        elif h.checked:
+            if (fine := good.get(covered)) is None:
+                fine = good[covered] = crc16(_protected(h, data[at + 3], frame_head)) == int.from_bytes(frame_head[4:6], "big")
             checked += 1
             wrong += not fine
         if not offsets and (table := _table(h, data[at : at + h.size])):
@@ -204,7 +204,7 @@ def parse(data: bytes) -> Audio:
         at += h.size
     payload = b"".join(parts)
     n = tags.get("payload_bytes", "")
-    return Audio(tags, table, offsets, samples, rate, checked, wrong, skipped, payload[: int(n)] if n.isdigit() else payload)
+    return Audio(tags, table, offsets, samples, rate, checked, wrong, unverified, skipped, payload[: int(n)] if n.isdigit() else payload)
 
 
 def pad(text: bytes | None) -> bytes:
@@ -214,7 +214,10 @@ def pad(text: bytes | None) -> bytes:
 
 
 def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes (unpadded) and media of every row; a null text is an empty one, repeated rows stay."""
+    """doc_id, n_bytes (unpadded) and media of every row; a null text is an empty one, repeated rows stay.
+
+    A text of any length becomes one file.  An empty table gives an empty table.
+    """
 
     def make(batch, texts):
         sizes = pa.array([len(t or b"") for t in texts], pa.int64())
@@ -227,9 +230,10 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def parse_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Read stored MPEG audio: the other columns, and tags, durations, offsets, checksum counts and digests.
 
-    A null or broken file has no frames, no samples and an empty payload.
+    A null or broken file has no frames, no samples and an empty payload.  Of two readings of the
+    same bytes the one that starts first counts.  An empty table gives an empty table.
     """
-    new = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, samples long, sample_rate int, checked long, wrong long, skipped long, seek_offsets array<long>"
+    new = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames long, samples long, sample_rate int, checked long, wrong long, unverified long, skipped long, seek_offsets array<long>"
     kept = [f for f in df.schema.fields if f.name != media_col]
 
     def make(batch, files):
@@ -246,6 +250,7 @@ def parse_media(df: DataFrame, media_col: str = "media") -> DataFrame:
             "sample_rate": pa.array([a.rate for a in read], pa.int32()),
             "checked": [a.checked for a in read],
             "wrong": [a.wrong for a in read],
+            "unverified": [a.unverified for a in read],
             "skipped": [a.skipped for a in read],
             "seek_offsets": pa.array([a.offsets for a in read], pa.list_(pa.int64())),
         }
