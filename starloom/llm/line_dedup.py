@@ -1,8 +1,9 @@
 """Line dedup: hash normalised lines, count the documents of each hash, drop frequent lines.
 
 A line's key is the line without leading and trailing ASCII white space, A-Z lower-cased.  Keys are
-compared by 128-bit hashes.  A row is a document.  The texts are read twice and never shuffled; only
-hashes are, after each document has named each of its keys once.
+compared by 128-bit hashes.  A row is a document.  The texts are read twice; hashes are shuffled,
+after each document has named each of its keys once.  Texts themselves are shuffled only where
+there are more than ``BROADCAST_KEYS`` frequent keys.
 """
 
 from __future__ import annotations
@@ -44,8 +45,9 @@ def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_ch
     """Add ``kept_text``, ``n_lines`` and ``n_dropped`` to every row.
 
     Columns of the input with these names give way.  A null or empty text is one empty line, which
-    has no key and stays; a text whose lines all go becomes empty.  Repeated rows count as
-    documents of their own.  An empty table gives an empty table.
+    has no key and stays; a text whose lines all go becomes empty.  Texts of any length are taken
+    whole.  Repeated rows count as documents of their own; a key goes or stays for all alike.  An
+    empty table gives an empty table.
     """
     new = ["kept_text", "n_lines", "n_dropped"]
     df = df.drop(*[c for c in df.columns if c.lower() in new and c != text_col])
@@ -54,8 +56,9 @@ def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_ch
         pairs = frequent.toPandas().to_numpy(np.int64).reshape(n, 2)
         known = df.sparkSession.sparkContext.broadcast(frozenset(pairs[i].astype("<i8").tobytes() for i in range(n)))
         return _cut(df, text_col, min_chars, lambda batch: [known.value] * batch.num_rows)
-    # beyond the bound each document gets its own frequent keys by joins on hashes; hot hashes are split by AQE
-    row = [F.xxhash64(F.lit(i), F.col(text_col)) for i in (1, 2)]
+    # beyond the bound each document gets its own frequent keys by joins on hashes; a text without a
+    # line that could go has no hash and meets nothing
+    row = [F.when(F.length(text_col) > 0, F.xxhash64(F.lit(i), F.col(text_col))) for i in (1, 2)]
     tagged = df.withColumns({"__r1": row[0], "__r2": row[1]})
 
     def emit(batch, texts):
@@ -65,7 +68,7 @@ def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_ch
         times = [len(m) for m in mine]
         return {"__r1": np.repeat(r1, times), "__r2": np.repeat(r2, times), "h1": h[:, 0], "h2": h[:, 1]}
 
-    distinct = tagged.select("__r1", "__r2", text_col).dropDuplicates(["__r1", "__r2"])
+    distinct = tagged.filter("__r1 is not null").select("__r1", "__r2", text_col).dropDuplicates(["__r1", "__r2"])
     mine = map_texts(distinct, text_col, emit, "__r1 long, __r2 long, h1 long, h2 long").join(frequent, ["h1", "h2"])
     mine = mine.groupBy("__r1", "__r2").agg(F.collect_list(F.struct("h1", "h2")).alias("__keys"))
 

@@ -261,8 +261,10 @@ def pack_group(rows: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row.
 
-    A null or empty text is one piece of the single id 0.  Repeated rows are packed each.  An empty
-    table gives an empty table.
+    A null or empty text is one piece of the single id 0.  Repeated rows are packed each; rows that
+    share an id, equal or not, are told apart by their places alone, as all their pieces carry the
+    same id.  Pieces of equal length are taken in order of id and piece.  An empty table gives an
+    empty table.
     """
     pieces = checkpoint(token_pieces(df, id_col, text_col, tokenizer, capacity))
     groups = pieces.count() // group + 1
