@@ -5,12 +5,14 @@ A *word* here is a maximal run of digits, letters and non-ASCII characters; A-Z
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Callable, Iterator
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +20,53 @@ from pyspark.sql import functions as F
 STEP_BYTES = 2 << 20
 #: Words that one task holds at once when it compares texts with a centre (a longer text is one group).
 GROUP_WORDS = 100_000
+#: A key with over this part (one in so many) of the rows is hot; there are no more such keys than this.
+HOT = 1000
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a copy in the cluster's shared checkpoint folder.
+    """Cut the lineage with a copy in the cluster's shared checkpoint folder, which the session names.
 
-    The folder is the session's; only a session that names none (a test) gets a temporary one.
+    Only a session on one machine (a test) may name none; it gets a temporary folder.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="starloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def forget(*checkpoints: DataFrame) -> None:
+    """Delete the files of checkpoints that no DataFrame needs any more."""
+    for df in checkpoints:
+        sc, file = df.sparkSession.sparkContext, df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Broadcast a value of a known size; what comes back gives it in a task.
+
+    It is pickled together with its classes, so workers need no copy of the package, and unpickled
+    once in each worker.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        kept = vars(sent)
+        if "loaded" not in kept:
+            kept["loaded"] = pickle.loads(sent.value)
+        return kept["loaded"]
+
+    return get
+
+
 def fold(id_col: str) -> Column:
     """crc32 of the id as text, mod 4; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
@@ -141,25 +173,45 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def star_groups(pairs: DataFrame, docs: DataFrame, judge: Callable, schema: str) -> DataFrame:
+def hot_keys(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(key, n) of the hot keys, ``HOT`` at most, and the number of rows."""
+    total = df.count()
+    return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") * HOT >= total), total
+
+
+def join_hot(left: DataFrame, right: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """An inner join on a key that is unique on the right; the left rows of hot keys stay where they are."""
+    few = F.broadcast(hot.select(key))
+    return left.join(F.broadcast(right.join(few, key)), key).unionByName(left.join(few, key, "left_anti").join(right, key))
+
+
+def one_text_each(texts: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, id, text) with one row, of the least id, for each hot key; other rows as they are."""
+    few = F.broadcast(hot.select("key"))
+    one = texts.join(few, "key").groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    return texts.join(few, "key", "left_anti").select("key", "id", "text").unionByName(one)
+
+
+def star_groups(pairs: DataFrame, texts: DataFrame, judge: Callable, schema: str) -> DataFrame:
     """Compare texts with the text of their centre.
 
-    pairs has (member, centre, n_words), distinct (member, centre); docs has (doc_id, text) with
-    distinct ids.  ``judge(centre_id, centre_text, [(id, text)])`` yields tuples of the schema.  A
-    centre with many members gets as many groups as its members' words need, so neither a hot
-    centre nor long texts meet in one task.
+    pairs has (member, centre, n_words), distinct (member, centre); texts has distinct (key, text).
+    ``judge(centre_key, centre_text, [(key, text)])`` yields tuples of the schema.  A centre with
+    many members gets as many groups as its members' words need, so neither a hot centre nor long
+    texts meet in one task.
     """
-    sizes = checkpoint(pairs.groupBy("centre").agg(F.ceil(F.sum(F.col("n_words") + 20) / GROUP_WORDS).alias("parts")))
-    dealt = pairs.join(sizes, "centre").select("centre", F.col("member").alias("id"), F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"))
-    heads = sizes.select("centre", F.col("centre").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    sent = docs.join(dealt.unionByName(heads), F.col("doc_id") == F.col("id")).select("centre", "part", "id", "text")
+    sizes = checkpoint(pairs.groupBy("centre").agg(F.ceil(F.sum(F.col("n_words") + 20) / GROUP_WORDS).alias("parts"), F.count("*").alias("n")))
+    hot = sizes.filter(F.col("n") * HOT >= (sizes.agg(F.sum("n")).first()[0] or 0))
+    dealt = join_hot(pairs, sizes.drop("n"), hot, "centre").select("centre", F.col("member").alias("key"), F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"))
+    heads = sizes.select("centre", F.col("centre").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    sent = texts.join(dealt.unionByName(heads), "key").select("centre", "part", "key", "text")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(table: pa.Table) -> pa.Table:
         centre = table["centre"][0].as_py()
-        texts = dict(zip(table["id"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), strict=True))
-        head = texts.pop(centre, b"")
-        out = list(zip(*judge(centre, head, sorted(texts.items())), strict=True)) or [[] for _ in names]
+        some = dict(zip(table["key"].to_pylist(), table["text"].cast(pa.binary()).to_pylist(), strict=True))
+        head = some.pop(centre, b"")
+        out = list(zip(*judge(centre, head, sorted(some.items())), strict=True)) or [[] for _ in names]
         return pa.table({n: pa.array(c, type=t) for n, c, t in zip(names, out, types, strict=True)})
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, forget, hot_keys, join_hot
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the least id of the component, for every id in the links (a, b)."""
+    """(id, label): the least id of the component, for every id in the links (a, b).
+
+    Links of an id and members of a label that are hot are joined where they are.
+    """
     both = checkpoint(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct())
+    hubs = hot_keys(both, "b")[0]
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label"))
+    last = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        stepped = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))
-        moved = checkpoint(stepped.join(jump, "new", "left").select("id", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
-        labels = moved.select("id", F.col("new").alias("label"))
-        if not moved.filter("label <> new").limit(1).count():
+        near = join_hot(both, labels.select(F.col("id").alias("b"), "label"), hubs, "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        stepped = checkpoint(labels.join(near, "id").select("id", "label", F.least("label", "near").alias("new")))
+        jump = labels.select(F.col("id").alias("new"), F.col("label").alias("far"))  # every label is an id
+        moved = checkpoint(join_hot(stepped, jump, hot_keys(stepped, "new")[0], "new").select("id", "label", F.least("new", "far").alias("new")))
+        forget(stepped, *[last] * (last is not None))
+        labels, last = moved.select("id", F.col("new").alias("label")), moved
+        if moved.filter("label <> new").isEmpty():
+            forget(both)
             return labels

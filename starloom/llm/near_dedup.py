@@ -7,24 +7,25 @@ later than all that the signature still needs are never drawn.  A signature hold
 of each of ``SLOTS`` components, so two multisets agree in a component with the probability of
 their weighted Jaccard similarity.
 
-Texts with the same words are one text at first.  Others meet in buckets of equal bands.  Each is
-compared, by its shingles, with the least id of each of its buckets and with an id drawn for each.
+Equal texts are one text at first, known by a 64-bit hash, its key.  Others meet in buckets of equal
+bands.  Each is compared, by its shingles, with the least key of each of its buckets and with a key
+drawn for each.
 All texts of a bucket, of whatever size, that are then still in different components meet in a
 second turn: a bucket is dealt into parts, and every two parts meet in a cell of their own, so a
 text is sent once for each part and no task holds more than two parts.  Two texts of several
 common buckets are compared in the first of them alone.  So no link inside a bucket is lost; the
-comparisons of texts that stay unconnected are as many as their pairs.
+comparisons of texts that stay unconnected are as many as their pairs.  Texts, buckets and centres
+that hold over a thousandth of the rows are joined where they are, not by a shuffle on their key.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_WORDS, checkpoint, column, map_texts, mix, shingles, star_groups, words_of
+from .common import GROUP_WORDS, HOT, checkpoint, column, forget, hot_keys, join_hot, map_texts, mix, one_text_each, shingles, star_groups, words_of
 from .components import components
 
 #: Words of a shingle, least similarity, bands, and components in a band: 0.8 misses all bands once in 100,000 times.
@@ -70,11 +71,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(df: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, n_words, bands) of (doc_id, text); k1 and k2 hash the words, and are null for a text without words."""
+    """(id, key, n_words, bands) of (id, key, text); a text without words has no bands."""
 
     def make(batch, texts):
         words = words_of(texts)
-        docs, items, counts, keys, some = [], [], [], [], []
+        docs, items, counts, some = [], [], [], []
         for d in range(len(texts)):
             w = words.hash[words.begin[d] : words.begin[d + 1]]
             if len(w):
@@ -82,7 +83,6 @@ def signatures(df: DataFrame) -> DataFrame:
                 docs.append(np.full(len(item), len(some)))
                 items.append(item)
                 counts.append(count)
-                keys.append(xxhash.xxh3_128_digest(w.tobytes()))
                 some.append(d)
         n, size = len(some), np.diff(words.begin)
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
@@ -90,13 +90,12 @@ def signatures(df: DataFrame) -> DataFrame:
         band = mix(first[:, :, 0] + np.arange(BANDS, dtype=np.uint64))
         for r in range(1, ROWS):
             band = mix(band ^ first[:, :, r])
-        key = np.zeros((len(texts), 2), np.int64)
-        key[some] = np.frombuffer(b"".join(keys), "<i8").reshape(n, 2)
         ends = np.concatenate([[0], np.cumsum((size > 0) * BANDS)])
         flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band.view(np.int64).reshape(-1)))
-        return {"doc_id": column(batch, "doc_id"), "k1": pa.array(key[:, 0], mask=size == 0), "k2": pa.array(key[:, 1], mask=size == 0), "n_words": pa.array(size.astype(np.int64)), "bands": flat}
+        return {"id": column(batch, "id"), "key": column(batch, "key"), "n_words": pa.array(size.astype(np.int64)), "bands": flat}
 
-    return map_texts(df, "text", make, "doc_id long, k1 long, k2 long, n_words long, bands array<long>")
+    kind = df.schema["id"].dataType.simpleString().replace("bigint", "long")
+    return map_texts(df, "text", make, f"id {kind}, key long, n_words long, bands array<long>")
 
 
 def _judge(centre_id, centre, members):
@@ -111,35 +110,47 @@ def _judge(centre_id, centre, members):
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rep_id, class_id and n_links of every row.
 
-    rep_id is the least id of the documents with the same words, class_id the least id of all that
-    links of similarity 0.8 or more connect, n_links how many verified links the representative
-    has.  A text without words (null and empty ones too) is alone in its class.  A null id has null
-    rep_id and class_id and meets nobody.  Ids are cast to long; rows that repeat an id come out
-    each (an id with different texts is compared by any one of them).
+    rep_id is the least id of the documents with the same text, class_id the least id of all that
+    links of similarity 0.8 or more connect, n_links how many verified links the text has with
+    others.  A text without words (null and empty ones too) is alone in its class.  A null id has
+    null rep_id and class_id and meets nobody.  Ids may be of any type that has an order.  Rows that
+    repeat an id come out each, with the class of their own text.  Texts of any length are compared
+    whole.  An empty table gives an empty table.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _assign(df, id_col, text_col).select("doc_id", "rep_id", "class_id", "n_links")
+
+
+def _assign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As ``near_duplicates``, with the text's key and that of the text that stands for the class."""
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     signed = checkpoint(signatures(rows))
-    worded = signed.filter("doc_id is not null and k1 is not null")
-    reps = checkpoint(worded.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_words", "bands")).alias("r")).select("k1", "k2", "r.*"))
-    banded = reps.select("doc_id", "n_words", F.explode("bands").alias("bucket"))
-    drawn = F.min_by("doc_id", F.xxhash64("bucket", "doc_id")).alias("drawn")
-    shared = checkpoint(banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("size"), drawn).filter("least <> last"))
-    met = checkpoint(banded.join(shared.drop("last"), "bucket"))
-    texts = checkpoint(rows.join(met.select("doc_id").distinct(), "doc_id", "left_semi"))  # all that any turn compares
+    worded = signed.filter("id is not null and n_words > 0")
+    reps = checkpoint(worded.groupBy("key").agg(F.min("id").alias("rep_id"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")))
+    hot_texts = reps.filter(F.col("n") * HOT >= worded.count()).select("key")
+    banded = reps.select("key", "n_words", F.explode("bands").alias("bucket"))
+    drawn = F.min_by("key", F.xxhash64("bucket", "key")).alias("drawn")
+    shared = checkpoint(banded.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("last"), F.count("*").alias("size"), drawn).filter("least <> last"))
+    hot = shared.filter(F.col("size") * HOT >= (shared.agg(F.sum("size")).first()[0] or 0)).select("bucket")
+    met = checkpoint(join_hot(banded, shared.select("bucket", "least", "drawn"), hot, "bucket"))
+    wanted = reps.join(met.select("key").distinct(), "key", "left_semi").select("key", "rep_id")
+    of_rep = one_text_each(rows.filter("id is not null and text is not null"), hot_texts).join(wanted, "key").filter("id = rep_id")
+    texts = checkpoint(of_rep.select("key", "text").dropDuplicates(["key"]))  # all that any turn compares
     links = checkpoint(_verify(_pairs(met, F.array("least", "drawn")), texts))
     labels = components(links)
-    named = met.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    named = checkpoint(named.filter("doc_id <> least and doc_id <> drawn").select("bucket", "doc_id", "n_words", "label"))  # those two have met the bucket
+    named = met.join(labels.withColumnRenamed("id", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = checkpoint(named.filter("key <> least and key <> drawn").select("bucket", "key", "n_words", "label"))  # those two have met the bucket
     split = named.groupBy("bucket").agg(F.ceil(F.sum(F.col("n_words") + 20) / GROUP_WORDS).alias("parts"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    found = checkpoint(_meet(named.join(split.select("bucket", "parts"), "bucket"), reps.select("doc_id", "bands"), texts))
+    forget(met)
+    found = checkpoint(_meet(join_hot(named, split.select("bucket", "parts"), hot, "bucket"), reps.select("key", "bands"), texts))
+    forget(texts, named)
     if not found.isEmpty():
         links = checkpoint(links.unionByName(found).dropDuplicates(["a", "b"]))
         labels = components(links)
-    return _classes(signed, reps, links, labels)
+    return _classes(signed, reps, hot_texts, links, labels)
 
 
 def _pairs(met: DataFrame, centres) -> DataFrame:
-    pairs = met.select(F.col("doc_id").alias("member"), F.explode(centres).alias("centre"), "n_words")
+    pairs = met.select(F.col("key").alias("member"), F.explode(centres).alias("centre"), "n_words")
     return pairs.filter("member <> centre").distinct()
 
 
@@ -149,15 +160,15 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _meet(named: DataFrame, bands: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between texts of a bucket that have different labels; named has (bucket, doc_id, label, parts)."""
-    part, other = F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    dealt = named.select("bucket", "doc_id", "label", part, other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
-    sent = dealt.drop("other").join(texts.join(bands, "doc_id"), "doc_id")
+    """Links between texts of a bucket that have different labels; named has (bucket, key, label, parts)."""
+    part, other = F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    dealt = named.select("bucket", "key", "label", part, other).withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    sent = dealt.drop("other").join(texts.join(bands, "key"), "key")
     names, types = ["a", "b", "similarity"], [pa.int64(), pa.int64(), pa.float64()]
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.take(np.unique(table["doc_id"].to_numpy(), return_index=True)[1])
-        ids, labels, parts = (table[n].to_numpy() for n in ("doc_id", "label", "part"))
+        table = table.take(np.unique(table["key"].to_numpy(), return_index=True)[1])
+        ids, labels, parts = (table[n].to_numpy() for n in ("key", "label", "part"))
         bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(ids), BANDS)
         out = list(zip(*_cell(table["bucket"][0].as_py(), ids, labels, parts, bands, table["text"].cast(pa.binary()).to_pylist()), strict=True)) or [[], [], []]
         return pa.table({n: pa.array(c, type=t) for n, c, t in zip(names, out, types, strict=True)})
@@ -195,28 +206,33 @@ def _cell(bucket: int, ids: np.ndarray, labels: np.ndarray, parts: np.ndarray, b
             yield int(ids[d]), int(ids[d + 1 + e]), float(near[e])
 
 
-def _classes(signed: DataFrame, reps: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    ends = links.select(F.explode(F.array("a", "b")).alias("rep_id")).groupBy("rep_id").agg(F.count("*").alias("n_links"))
-    marks = checkpoint(ends.join(labels.select(F.col("id").alias("rep_id"), F.col("label").alias("class_id")), "rep_id"))
-    known = checkpoint(reps.select("k1", "k2", F.col("doc_id").alias("rep_id")).join(marks, "rep_id", "left"))
-    worded = F.col("doc_id").isNotNull() & F.col("k1").isNotNull()
-    same = signed.filter(worded).select("doc_id", "k1", "k2").join(known, ["k1", "k2"])
-    alone = signed.filter(~worded).select("doc_id", F.col("doc_id").alias("rep_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return same.select("doc_id", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).unionByName(alone)
+def _classes(signed: DataFrame, reps: DataFrame, hot_texts: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    ends = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    linked = checkpoint(reps.select("key", "rep_id").join(labels.withColumnRenamed("id", "key"), "key").join(ends, "key"))
+    least = linked.groupBy("label").agg(F.min(F.struct("rep_id", "key")).alias("c"))
+    hot = hot_keys(linked, "label")[0]
+    marks = join_hot(linked, least, hot, "label").select("key", "c", "n_links")
+    none = F.struct("rep_id", "key")
+    known = checkpoint(reps.select("key", "rep_id").join(marks, "key", "left").select("key", "rep_id", F.coalesce("c", none).alias("c"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    worded = F.col("id").isNotNull() & (F.col("n_words") > 0)
+    same = join_hot(signed.filter(worded).select(F.col("id").alias("doc_id"), "key"), known, hot_texts, "key")
+    alone = signed.filter(~worded).select(F.col("id").alias("doc_id"), "key", F.col("id").alias("rep_id"), F.col("id").alias("class_id"), F.col("key").alias("class_key"), F.lit(0).cast("long").alias("n_links"))
+    return same.select("doc_id", "key", "rep_id", F.col("c.rep_id").alias("class_id"), F.col("c.key").alias("class_key"), "n_links").unionByName(alone)
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each class, the one with the class's id; rows with a null id stay.
 
-    Of rows that repeat a kept id one stays.
+    Of rows that repeat an id and a text one stays.  A row that repeats a kept id with another text
+    goes if it is of the same class, and else stays or goes with the class of its own text.
     """
-    found = near_duplicates(df, id_col, text_col).filter("doc_id is not null")
-    per_id = checkpoint(found.groupBy("doc_id").agg(F.min("class_id").alias("c"), F.count("*").alias("n")).filter("doc_id <> c or n > 1"))
-    gone, again = per_id.filter("doc_id <> c").select("doc_id"), per_id.filter("doc_id = c and n > 1").select("doc_id")
-    on = df[id_col].cast("long")
-    kept = df.join(gone.withColumnRenamed("doc_id", "__gone"), on == F.col("__gone"), "left_anti")
+    found = _assign(df, id_col, text_col).filter("doc_id is not null")
+    other = (F.col("doc_id") != F.col("class_id")) | (F.col("key") != F.col("class_key"))
+    odd = checkpoint(found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.max(other).alias("gone"), F.count("*").alias("n")).filter("gone or n > 1"))
+    same_row = [df[id_col] == F.col("__id"), F.xxhash64(df[text_col]) == F.col("__key")]
+    kept = df.join(odd.filter("gone").select("__id", "__key"), same_row, "left_anti")
+    again = odd.filter("not gone").select("__id", "__key")
     if again.isEmpty():
         return kept
-    again = again.withColumnRenamed("doc_id", "__again")
-    once = kept.join(again, kept[id_col].cast("long") == F.col("__again"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, kept[id_col].cast("long") == F.col("__again"), "left_anti").unionByName(once)
+    once = kept.join(again, same_row, "left_semi").withColumn("__key", F.xxhash64(text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
+    return kept.join(again, same_row, "left_anti").unionByName(once)

@@ -60,28 +60,32 @@ def test_added_columns_give_way(spark):
 
 # toxicity
 def test_segments_are_maximal():
-    def brute(at, score, n, gap):
-        full = [-gap] * n
-        for p, s in zip(at, score, strict=True):
-            full[p] = s
+    def brute(full):
         out = []
 
         def best(lo, hi):
-            top = max(((sum(full[i : j + 1]), i - j, i, j) for i in range(lo, hi) for j in range(i, hi)), default=(0, 0, 0, 0))
+            top = max(((round(sum(full[i : j + 1]), 9), i - j, i, j) for i in range(lo, hi) for j in range(i, hi)), default=(0, 0, 0, 0))
             if top[0] > 1e-9:
                 out.append((top[2], top[3], round(top[0], 6)))
                 best(lo, top[2])
                 best(top[3] + 1, hi)
 
-        best(0, n)
+        best(0, len(full))
         return sorted(out)
 
     rng = random.Random(4)
-    for _ in range(60):
-        n = rng.randrange(1, 14)
-        at = sorted(rng.sample(range(n), rng.randrange(0, n + 1)))
-        score = [rng.choice([1.0, 2.5, 4.0]) for _ in at]
-        assert sorted((a, b, round(s, 6)) for a, b, s in toxicity.segments(at, score, 1.1)) == brute(at, score, n, 1.1)
+    for _ in range(200):
+        full = [rng.choice([-0.7, -1.3, -3.1, 1.0, 2.5, 4.0]) for _ in range(rng.randrange(1, 14))]
+        assert sorted((a, b, round(s, 6)) for a, b, s in toxicity.segments(np.array(full))) == brute(full)
+
+
+def test_segments_take_linear_time():
+    score = np.full(1_000_000, -0.7)
+    score[::10] = 2.0
+    began = time.perf_counter()
+    assert len(toxicity.segments(score)) == 100_000
+    score[::10] = 7.0
+    assert len(toxicity.segments(score)) == 1 and time.perf_counter() - began < 5
 
 
 def test_toxicity(spark):
@@ -98,7 +102,8 @@ def test_toxicity(spark):
     odd = [(900, None, "en"), (901, "", "en"), (None, "zorkel zorkig", "en"), (902, "the " * 20_000 + "zorkel blaffe", "en")]
     marks = spark.createDataFrame([*labels, (None, 1, 1), (901, None, None)], "doc_id long, quality int, toxic int")
     df = frame(spark, rows + odd).withColumn("score", F.lit(1))
-    got = {r["doc_id"]: r for r in toxicity.toxicity_report(df, marks).collect()}
+    got = {r["doc_id"]: r for r in toxicity.toxicity_report(df.union(df.filter("doc_id = 902")), marks).collect()}
+    assert toxicity.toxicity_report(df.filter("doc_id > 9999"), marks).collect() == []
     truth = {i: t for i, _, t in labels}
     held = [i for i in truth if fold(i) == 2]
     assert np.mean([got[i]["predicted"] == truth[i] for i in held]) > 0.97

@@ -88,7 +88,7 @@ def brute_windows(texts, items, size=13):
     return out
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 20])
+@pytest.mark.parametrize("limit", [1_000_000, 150])
 def test_decontamination(spark, limit):
     rng = random.Random(5)
     vocabulary = ["a", "b", "Éa", "c9"]
@@ -98,8 +98,8 @@ def test_decontamination(spark, limit):
     texts += [texts[4]]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = docs(spark, texts).selectExpr("*", "1 as runs")
-    got = decontaminate.find_windows(df, bench, max_windows=limit)
-    report = got.selectExpr("doc_id", "n_words").join(decontaminate.contamination_report(docs(spark, texts), bench, max_windows=limit).drop("n_words"), "doc_id").orderBy("doc_id")
+    got = decontaminate.find_windows(df, bench, max_bytes=limit)
+    report = got.selectExpr("doc_id", "n_words").join(decontaminate.contamination_report(docs(spark, texts), bench, max_bytes=limit).drop("n_words"), "doc_id").orderBy("doc_id")
     assert [r[1:] for r in report.collect()] == brute_windows(texts, items)
     none = decontaminate.contamination_report(docs(spark, texts), bench.filter("item_id > 99"))
     assert none.filter("n_hit > 0").count() == 0 and none.count() == len(texts)
