@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised pass holds at once (a longer text is one step).
 STEP_BYTES = 2 << 20
+#: Rows that go to Python at once.
+BATCH_ROWS = 1000
 #: Words that one task holds at once when it compares texts with a centre (a longer text is one group).
 GROUP_WORDS = 100_000
 #: A key with over this part (one in so many) of the rows is hot; there are no more such keys than this.
@@ -85,6 +87,18 @@ def rows_of(batches: Iterator[pa.RecordBatch], col: str, step: int = STEP_BYTES)
             at = to
 
 
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows.
+
+    The session's setting is lowered: the default of 10,000 rows of text takes hundreds of megabytes
+    outside the heap of each executor.
+    """
+    setting, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(setting)) <= BATCH_ROWS:
+        conf.set(setting, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(df: DataFrame, text_col: str, make: Callable, schema: str) -> DataFrame:
     """``make(batch, texts) -> dict of columns`` over whole rows; null texts come as None."""
     names = [f.split()[0] for f in schema.split(", ")]
@@ -94,7 +108,7 @@ def map_texts(df: DataFrame, text_col: str, make: Callable, schema: str) -> Data
             got = make(batch, texts)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (got[n] for n in names)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

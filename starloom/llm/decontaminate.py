@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import TABLE, checkpoint, column, map_texts, mix, rows_of, shared, words_of
+from .common import TABLE, checkpoint, column, map_batches, map_texts, mix, rows_of, shared, words_of
 
 #: Words of a window, bytes of items that one pass searches for (its tables take some six times that), and windows of a piece.
 WINDOW, MAX_BYTES, PIECE = 13, 16 << 20, 1000
@@ -98,7 +98,7 @@ def _pieces(items: DataFrame, size: int) -> DataFrame:
                     out.append(b" ".join(words[s : s + PIECE + size - 1]))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(out, pa.binary()).cast(pa.string())], names=["i", "w"])
 
-    return items.mapInArrow(run, "i string, w string").distinct()
+    return map_batches(items, run, "i string, w string").distinct()
 
 
 def build(rows: list[tuple[str | None, str]], size: int) -> tuple[list[WuManber], list[str | None]]:
@@ -164,7 +164,7 @@ def _add_hits(df: DataFrame, text_col: str, machines) -> DataFrame:
             n_words, runs, items = zip(*_search(texts, *machines()), strict=True)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[*batch.schema.names, *_NEW])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add("n_words", LongType()).add("runs", ArrayType(LongType())).add("items", ArrayType(StringType())))
+    return map_batches(df, run, StructType([*df.schema.fields]).add("n_words", LongType()).add("runs", ArrayType(LongType())).add("items", ArrayType(StringType())))
 
 
 def _text_key(text_col: str) -> list[Column]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import TABLE, fold, rows_of, shared
+from .common import TABLE, fold, map_batches, rows_of, shared
 
 #: Labelled rows to learn from at most (in expectation), and the number of features.
 MAX_TRAIN, FEATURES = 2400, 1 << 13
@@ -142,7 +142,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(x)), batch.column(2).slice(at, len(x)), pa.array([a.astype("<u2").tobytes() for a in at_of], pa.binary()), pa.array([r[a].astype("<f2").tobytes() for r, a in zip(x, at_of, strict=True)], pa.binary())], names=["doc_id", "lang", "at", "value"])
 
     kind = rows.schema["doc_id"].dataType.simpleString().replace("bigint", "long")
-    got = sorted(sample.select("text", "doc_id", "lang").mapInArrow(run, f"doc_id {kind}, lang string, at binary, value binary").collect(), key=lambda r: (r["lang"], str(r["doc_id"])))
+    got = sorted(map_batches(sample.select("text", "doc_id", "lang"), run, f"doc_id {kind}, lang string, at binary, value binary").collect(), key=lambda r: (r["lang"], str(r["doc_id"])))
     x = np.zeros((len(got), FEATURES + 1), np.float32)
     x[:, -1] = 1
     for i, r in enumerate(got):
@@ -165,7 +165,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             got = [p for at in range(0, len(texts), 128) for p in known().predict(texts[at : at + 128])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([p for p, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType()))
+    return map_batches(df, run, StructType([*df.schema.fields]).add("lang_pred", StringType()).add("lang_score", DoubleType()))
 
 
 def language_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import checkpoint, column, map_texts, rows_of
+from .common import checkpoint, column, map_batches, map_texts, rows_of
 
 #: Up to so many frequent keys (16 bytes each) are broadcast; more are joined.
 BROADCAST_KEYS = 1_000_000
@@ -91,7 +91,7 @@ def _cut(df: DataFrame, text_col: str, min_chars: int, sets) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*batch.schema.names, "kept_text", "n_lines", "n_dropped"])
 
     schema = StructType([*df.schema.fields]).add("kept_text", StringType()).add("n_lines", LongType()).add("n_dropped", LongType())
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def line_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

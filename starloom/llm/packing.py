@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, hash_runs, rows_of
+from .common import checkpoint, hash_runs, map_batches, rows_of
 
 #: Tokens of a sequence, pieces of a group, and units whose ids a worker remembers (some 40 bytes each).
 CAPACITY, GROUP, REMEMBERED = 2048, 4000, 2_000_000
@@ -155,7 +155,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(doc_id, batch.schema.field("doc_id").type), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return map_batches(rows, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

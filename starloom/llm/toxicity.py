@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import column, fold, map_texts, prefix_hashes, rows_of, shared, words_of
+from .common import column, fold, map_batches, map_texts, prefix_hashes, rows_of, shared, words_of
 
 #: Labelled rows to learn from at most (in expectation).
 MAX_TRAIN = 20_000
@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     n = {r["y"]: r["n"] for r in sample.groupBy((F.col("y") > 0).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    counted = sample.mapInArrow(count, "f long, whole boolean, toxic long, clean long").groupBy("f").agg(F.max("whole").alias("whole"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = map_batches(sample, count, "f long, whole boolean, toxic long, clean long").groupBy("f").agg(F.max("whole").alias("whole"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     ratio = (n_toxic + 1) / (n_clean + 1)
     tests = Observation()
     counted = counted.observe(tests, F.count_if(F.col("toxic") + F.col("clean") >= 2).alias("n"))
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = [_squash(e) for e, _ in known().evidence(texts, y)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), pa.array([int(v > 0) for v in y], pa.int32())], names=["x", "y"])
 
-    got = sample.mapInArrow(weigh, "x double, y int").groupBy("x", "y").agg(F.count("*").alias("n")).toPandas().sort_values(["x", "y"])
+    got = map_batches(sample, weigh, "x double, y int").groupBy("x", "y").agg(F.count("*").alias("n")).toPandas().sort_values(["x", "y"])
     x, y = (np.repeat(got[c].to_numpy(np.float64), got["n"]) for c in ("x", "y"))
     model.curve = fit_curve(x, y)
     return model
