@@ -31,11 +31,24 @@ def build(args: argparse.Namespace) -> int:
             return 2
         profiles = [p for p in profiles if p.name in args.profile]
     done = Warehouse(session(), args.root_dir, args.output_dir).build(profiles)
-    for table, rows in done["tables"].items():
-        print(f"{table}: {rows} rows")
+    for line in build_report(profiles, done, args.output_dir):
+        print(line)
     return 0
 
 
+def build_report(profiles: list, done: dict, output: str) -> list[str]:
+    """What a build did: for each dataset rows, labels, rules and imputations, then totals and where things are."""
+    lines = [f"Built {len(profiles)} datasets, snapshot {done['snapshot_id']}:"]
+    for p in profiles:
+        log = done["lineage"][p.name]
+        share = f", {100 * log.cleaned_target['positive'] / max(1, log.cleaned_rows):.2f} % positive" if log.cleaned_target else ""
+        lines.append(f"  {p.name} -> {p.fact_table}: {log.raw_rows} rows read, {log.cleaned_rows} kept{share}")
+        lines += [f"    {r['column']} {r['operator']}: {r['matched']} rows dropped" + (" (no such column)" if r["skipped"] else "") for r in log.drop_rules]
+        lines += [f"    {i['column']} imputed by {i['strategy']}: {i['missing_before']} missing, {i['missing_after']} left" for i in log.imputations]
+    total = sum(done["tables"].values())
+    return [*lines, f"{total} patient records in {len(done['tables'])} fact tables; tables, schema and governance files are in {output}"]
+
+
 def list_profiles(args: argparse.Namespace) -> int:
     for p in discover_profiles(args.profiles_dir):
         print(f"{p.name}\t{p.domain}\t{p.source_path}\t{len(p.columns)} columns")
@@ -69,6 +82,13 @@ def scaffold(args: argparse.Namespace) -> int:
     out.write_text(emit(draft), encoding="utf-8")
     best = draft.effective()
     print(f"{out}: " + ", ".join(f"{c} {sum(v == c for v in best.values())}" for c in ("HIGH", "MEDIUM", "LOW")))
+    target = draft.profile["target"]
+    print(f"  target {target['column']}: {target['positive_value']!r} is {target['positive_int']}, {target['negative_value']!r} is {target['negative_int']}")
+    for kind in sorted({c["type"] for c in draft.profile["columns"]}):
+        print(f"  {kind}: " + ", ".join(c["source"] + (" (dropped)" if c.get("drop") else "") for c in draft.profile["columns"] if c["type"] == kind))
+    for d in draft.decisions:
+        if (d.column, d.field) == ("<file>", "llm"):
+            print(f"  providers: {d.value}")
     for d in draft.reviews():
         if best.get((d.column, d.field)) == "LOW":
             print(f"  review {d.column}.{d.field}: {d.reason}")

@@ -1,7 +1,7 @@
 """Providers that say what rules leave open: a protocol, a chain with a cache, and presets that respect privacy.
 
-A provider sees column statistics and at most a dozen sample values, never rows.  Back-ends that
-need a network or a model are plugins: register a factory under its name.
+A provider sees column statistics and at most a dozen sample values, never rows.  Local and cloud
+models are asked over HTTP; other back-ends register a factory under a name.
 """
 
 from __future__ import annotations
@@ -11,12 +11,16 @@ import json
 import os
 import re
 import socket
+import urllib.parse
+import urllib.request
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any, Protocol
 
+import numpy as np
+
 from . import tables
 
 ROLES = tuple(tables.ROLE_TEXTS)
@@ -25,6 +29,8 @@ RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2}
 ACCEPT, MARGIN, CERTAIN = 0.55, 0.07, 0.72
 #: Columns of one request, and characters of a reason.
 BATCH, REASON = 40, 200
+#: Tokens of a local model's context.
+CONTEXT = 8192
 CACHE_FILE = ".llm_cache.json"
 
 
@@ -137,6 +143,22 @@ class WordProvider:
         return out
 
 
+def nearest(vectors: np.ndarray, names: list[str], references: np.ndarray) -> list[tuple[str, float, float]]:
+    """(name, cosine, lead over the next one) of each vector's nearest reference; the first of equals, 0 for a zero vector."""
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    cosine = unit(np.asarray(vectors, float)) @ unit(np.asarray(references, float)).T
+    best = cosine.argmax(axis=1)
+    ordered = np.sort(cosine, axis=1)
+    lead = ordered[:, -1] - ordered[:, -2] if len(names) > 1 else ordered[:, -1]
+    return [(names[b], float(row[b]), float(m)) for b, row, m in zip(best, cosine, lead, strict=True)]
+
+
+def by_similarity(columns: list[Column], found: list[tuple[str, float, float]]) -> list[dict[str, Any]]:
+    """Roles that are near enough and clearly nearest."""
+    sure = lambda c: "HIGH" if c >= CERTAIN else "MEDIUM"
+    return [{"column": c.name, "role": role, "confidence": sure(cosine), "reason": f"cosine {cosine:.2f}, lead {lead:.2f}"} for c, (role, cosine, lead) in zip(columns, found, strict=True) if cosine >= ACCEPT and lead >= MARGIN]
+
+
 class EmbeddingProvider:
     """The same with an installed sentence-embedding model."""
 
@@ -152,17 +174,65 @@ class EmbeddingProvider:
         self.model = self.model or SentenceTransformer(model)
         roles = list(tables.ROLE_TEXTS)
         texts = [f"{c.name}: {', '.join(map(str, c.samples[:5]))}" for c in columns]
-        vectors = self.model.encode([*tables.ROLE_TEXTS.values(), *texts], normalize_embeddings=True)
-        out = []
-        for c, row in zip(columns, vectors[len(roles) :] @ vectors[: len(roles)].T, strict=True):
-            (second, _), (best, role) = sorted(zip(row.tolist(), roles, strict=True))[-2:]
-            if best >= ACCEPT and best - second >= MARGIN:
-                out.append({"column": c.name, "role": role, "confidence": "HIGH" if best >= CERTAIN else "MEDIUM", "reason": f"cosine {best:.2f}, lead {best - second:.2f}"})
-        return out
+        vectors = np.asarray(self.model.encode([*tables.ROLE_TEXTS.values(), *texts]))
+        return by_similarity(columns, nearest(vectors[len(roles) :], roles, vectors[: len(roles)]))
+
+
+def question(columns: list[Column], target: str, file: str) -> str:
+    """What a language model is asked: statistics and samples of the open columns, and the shape of the answer."""
+    asked = json.dumps([{"name": c.name} | c.payload() for c in columns], default=str)
+    return (
+        f"The columns below come from the table {file}; its target is {target}. For each, give its role (one of {', '.join(ROLES)}, or null), "
+        "a description of at most twelve words, a mapping of its texts to whole numbers if they are codes (else null), "
+        'a confidence (HIGH, MEDIUM or LOW) and a short reason. Answer with JSON alone: {"columns": [{"name", "role", "description", "mapping", "confidence", "reason"}]}.\n' + asked
+    )
+
+
+def _post(url: str, body: dict[str, Any], headers: dict[str, str] | None = None, timeout: float = 300) -> Any:
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **(headers or {})})
+    with urllib.request.urlopen(request, timeout=timeout) as reply:
+        return json.load(reply)
+
+
+def _answers(text: str) -> list[dict[str, Any]]:
+    found = tolerant_json(text)
+    found = found.get("columns", [found]) if isinstance(found, dict) else found
+    return [x for x in found if isinstance(x, dict)] if isinstance(found, list) else []
+
 
+class OllamaProvider:
+    """A local daemon's generate call: JSON answers at temperature 0, within five minutes."""
 
-#: Factories by back-end name; ``ollama`` and ``gemini`` are for plugins.
-PROVIDERS: dict[str, Callable[[], Provider]] = {"embedding": EmbeddingProvider, "words": WordProvider}
+    def __init__(self, url: str | None = None):
+        self.url = url or os.environ.get("OLLAMA_HOST", "http://127.0.0.1:11434")
+
+    def available(self) -> tuple[bool, str]:
+        at = urllib.parse.urlsplit(self.url)
+        return local_model_open(at.hostname or "127.0.0.1", at.port or 11434), f"nothing answers at {self.url}"
+
+    def suggest(self, columns: list[Column], target: str, file: str, model: str) -> list[dict[str, Any]]:
+        body = {"model": model, "prompt": question(columns, target, file), "stream": False, "format": "json", "options": {"temperature": 0, "num_ctx": CONTEXT}}
+        return _answers(_post(f"{self.url}/api/generate", body).get("response", ""))
+
+
+class GeminiProvider:
+    """A cloud model's structured answer; needs GEMINI_API_KEY."""
+
+    def __init__(self, url: str = "https://generativelanguage.googleapis.com/v1beta"):
+        self.url = url
+
+    def available(self) -> tuple[bool, str]:
+        return cloud_key(), "GEMINI_API_KEY is not set"
+
+    def suggest(self, columns: list[Column], target: str, file: str, model: str) -> list[dict[str, Any]]:
+        body = {"contents": [{"parts": [{"text": question(columns, target, file)}]}], "generationConfig": {"temperature": 0, "responseMimeType": "application/json"}}
+        reply = _post(f"{self.url}/models/{model}:generateContent", body, {"x-goog-api-key": os.environ["GEMINI_API_KEY"]})
+        parts = reply["candidates"][0]["content"]["parts"]
+        return _answers("".join(p.get("text", "") for p in parts))
+
+
+#: Factories by back-end name; others can be registered.
+PROVIDERS: dict[str, Callable[[], Provider]] = {"embedding": EmbeddingProvider, "words": WordProvider, "ollama": OllamaProvider, "gemini": GeminiProvider}
 
 
 def register(name: str, factory: Callable[[], Provider]) -> None:
@@ -188,16 +258,13 @@ def cloud_key() -> bool:
 
 
 def resolve_preset(preset: str, privacy: str) -> str:
-    """What ``auto`` means here: a local model, else the cloud if privacy lets it, else embeddings, else nothing."""
-    if preset != "auto":
-        if preset not in tables.PRESETS:
-            raise KeyError(f"unknown preset {preset!r}; known: {sorted(tables.PRESETS)}")
+    """A preset by name; ``auto`` is the first in this ranking that is to be had here."""
+    if preset in tables.PRESETS:
         return preset
-    if local_model_open():
-        return "small"
-    if privacy != "strict" and cloud_key():
-        return "cloud"
-    return "embed-only" if has_embedder() else "off"
+    if preset != "auto":
+        raise KeyError(f"unknown preset {preset!r}; known: {sorted(tables.PRESETS)}")
+    ranking = {"small": local_model_open, "cloud": lambda: privacy != "strict" and cloud_key(), "embed-only": has_embedder}
+    return next((name for name, there in ranking.items() if there()), "off")
 
 
 def chain_for(preset: str, privacy: str, no_embedding: bool = False) -> list[str]:

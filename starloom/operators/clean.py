@@ -7,9 +7,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.values import equals, is_numeric, is_one_of, no_nan, ref, to_double, to_long, type_of
 from ..plans.profile import Band, ColumnSpec, DropRule, TargetSpec, parse_bound
+from .quantiles import group_quantiles, quantiles
 
 
 def drop_condition(df: DataFrame, rule: DropRule) -> Column:
@@ -88,10 +90,8 @@ def impute_constant(df: DataFrame, column: str, value: Any) -> DataFrame:
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact medians of several columns in one pass."""
-    if not columns:
-        return {}
-    row = df.agg(*[F.median(to_double(ref(c), type_of(df, c))).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    return {c: row[f"m{i}"] for i, c in enumerate(columns)}
+    found = quantiles(df, {c: to_double(ref(c), type_of(df, c)) for c in columns}, [0.5])
+    return {c: found[c][0] for c in columns}
 
 
 def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,9 +101,11 @@ def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def group_stats(df: DataFrame, column: str, label: Column) -> DataFrame:
-    """(band, median, missing) of the values of a column; a row without a band is in none."""
-    value = to_double(ref(column), type_of(df, column))
-    return df.select(label.alias("band"), value.alias("v")).filter("band is not null").groupBy("band").agg(F.median("v").alias("median"), F.count_if(F.col("v").isNull()).alias("missing"))
+    """(band, median, missing) of the values of a column; a row without a band is in none.  The bands are those of a profile, so few."""
+    rows = df.select(label.alias("band"), to_double(ref(column), type_of(df, column)).alias("v")).filter("band is not null")
+    counts = rows.groupBy("band").agg(F.count_if(F.col("v").isNull()).alias("missing"))
+    middle = df.sparkSession.createDataFrame([(b, v[0]) for b, v in group_quantiles(rows, "band", "v", [0.5]).items()], "band string, median double")
+    return counts.join(F.broadcast(middle), "band", "left").select("band", "median", "missing")
 
 
 def impute_grouped_median(df: DataFrame, column: str, rule: dict[str, Any]) -> tuple[DataFrame, list[dict]]:
@@ -129,14 +131,15 @@ def impute_grouped_median(df: DataFrame, column: str, rule: dict[str, Any]) -> t
 
 
 def domain_violations(df: DataFrame, specs: list[ColumnSpec]) -> dict[str, list[str]]:
-    """Up to 20 values of each column that are not in its domain; one pass for all columns."""
+    """The first 20 values, in order, of each column that are not in its domain; one pass for all columns."""
     checked = [s for s in specs if s.domain and s.source in df.columns]
     if not checked:
         return {}
     pairs = [F.struct(F.lit(s.source).alias("column"), F.when(~F.coalesce(is_one_of(ref(s.source), type_of(df, s.source), s.domain), F.lit(True)), ref(s.source).cast("string")).alias("value")) for s in checked]
     odd = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("value is not null").distinct()
+    nth = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     found: dict[str, list[str]] = {}
-    for r in odd.orderBy("column", "value").limit(20 * len(checked)).collect():
+    for r in odd.withColumn("nth", nth).filter("nth <= 20").orderBy("column", "nth").collect():
         found.setdefault(r["column"], []).append(r["value"])
     return found
 

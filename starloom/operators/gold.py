@@ -49,6 +49,19 @@ def patient_columns(df: DataFrame, profile: DatasetProfile) -> tuple[Column, Col
     return years, code
 
 
+def patient_rows(df: DataFrame, profile: DatasetProfile, dataset_id: int) -> DataFrame:
+    """The cleaned rows with dataset_id, age and gender_id of the patient (columns with these names give way)."""
+    age, gender = patient_columns(df, profile)
+    return df.withColumns({"dataset_id": F.lit(dataset_id), "age": age, "gender_id": gender})
+
+
+def patient_records(df: DataFrame, snapshot_id: int = 1) -> DataFrame:
+    """The dimension from (patient_record_id, dataset_id, age, gender_id) of all datasets, whose ids follow one another."""
+    first = df.groupBy("dataset_id").agg(F.min("patient_record_id").alias("__first"))  # a row a dataset
+    number = F.col("patient_record_id") - F.col("__first") + 1
+    return df.join(F.broadcast(first), "dataset_id").select("patient_record_id", F.lit(snapshot_id).alias("snapshot_id"), "dataset_id", number.alias("source_record_num"), "age", "gender_id", age_bracket(F.col("age")).alias("age_bracket"))
+
+
 def dim_patient_record(df: DataFrame, profile: DatasetProfile, dataset_id: int, first_id: int = 1, snapshot_id: int = 1, number: str = "source_record_num") -> DataFrame:
     """One row a cleaned row, from a frame that has its 1-based ``number``."""
     age, gender = patient_columns(df, profile)

@@ -10,10 +10,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.values import is_numeric, no_nan, ref, to_double, type_of
+from .quantiles import quantiles
 
 #: Columns of one aggregate with distinct counts; values listed of a column; sample values.
 BATCH, TOP, SAMPLES = 8, 20, 5
 NUMBERS = ("min", "max", "mean", "median", "std", "q25", "q75")
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def missing_cells(df: DataFrame) -> DataFrame:
@@ -36,20 +38,21 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def numeric_stats(df: DataFrame, column: str) -> DataFrame:
     """One row of min, max, mean, median, std (n - 1), q25 and q75; all null without values."""
     v = to_double(ref(column), type_of(df, column))
-    return df.select(v.alias("v")).agg(*_number_aggs("v", ""))
+    q25, median, q75 = quantiles(df, {column: v}, QUARTILES)[column]
+    plain = df.select(v.alias("v")).agg(*_number_aggs("v", ""))
+    return plain.select("min", "max", "mean", F.lit(median).cast("double").alias("median"), "std", F.lit(q25).cast("double").alias("q25"), F.lit(q75).cast("double").alias("q75"))
 
 
 def _number_aggs(v, suffix: str) -> list:
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    found = [F.min(v), F.max(v), F.avg(v), F.median(v), F.stddev_samp(v), q[0], q[1]]
-    return [a.alias(n + suffix) for a, n in zip(found, NUMBERS, strict=True)]
+    found = [F.min(v), F.max(v), F.avg(v), F.stddev_samp(v)]
+    return [a.alias(n + suffix) for a, n in zip(found, ("min", "max", "mean", "std"), strict=True)]
 
 
 def fingerprint_stats(df: DataFrame, column: str) -> DataFrame:
     """One row: n, p5, median and p95 of the values."""
     v = to_double(ref(column), type_of(df, column))
-    q = F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return df.select(v.alias("v")).agg(F.count("v").alias("n"), q[0].alias("p5"), q[1].alias("median"), q[2].alias("p95"))
+    p5, median, p95 = (F.lit(x).cast("double") for x in quantiles(df, {column: v}, [0.05, 0.5, 0.95])[column])
+    return df.agg(F.count(v).alias("n")).select("n", p5.alias("p5"), median.alias("median"), p95.alias("p95"))
 
 
 def column_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
@@ -100,17 +103,33 @@ def profile_columns(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     for at in range(0, len(numeric), BATCH):
         some = numeric[at : at + BATCH]
         row = df.select(*[to_double(ref(c), type_of(df, c)).alias(f"v{i}") for i, c in enumerate(some)]).agg(*[a for i in range(len(some)) for a in _number_aggs(f"v{i}", str(i))]).first()
+        middle = quantiles(df, {c: to_double(ref(c), type_of(df, c)) for c in some}, QUARTILES)
         for i, c in enumerate(some):
-            counts[c]["numbers"] = {n: row[f"{n}{i}"] for n in NUMBERS} if row[f"min{i}"] is not None else {}
+            found = {n: row[f"{n}{i}"] for n in ("min", "max", "mean", "std")} | dict(zip(("q25", "median", "q75"), middle[c], strict=True))
+            counts[c]["numbers"] = {n: found[n] for n in NUMBERS} if row[f"min{i}"] is not None else {}
     if other:
         for r in top_values(df, other).orderBy("column", "rank").collect():
             counts[r["column"]].setdefault("top", {})[r["value"]] = r["n"]
-    heads = df.limit(1000).collect()
+    samples = first_values(df, columns)
     for c in columns:
         kind = type_of(df, c)
-        seen = [r[c] for r in heads if r[c] is not None and not (isinstance(r[c], float) and r[c] != r[c])]
-        if len(seen) < SAMPLES and counts[c]["rows"] - counts[c]["nulls"] > len(seen):
-            seen = [r[0] for r in df.select(ref(c)).filter(no_nan(ref(c), kind).isNotNull()).limit(SAMPLES).collect()]
-        counts[c]["samples"] = seen[:SAMPLES]
+        counts[c]["samples"] = samples[c]
         counts[c]["dtype"] = {"bigint": "int64", "double": "float64", "boolean": "bool"}.get(kind.simpleString(), "object" if isinstance(kind, T.StringType) else kind.simpleString())
     return counts
+
+
+def first_values(df: DataFrame, columns: list[str], n: int = SAMPLES) -> dict[str, list]:
+    """The first n values of each column that are there, as the file is read; a task keeps n of each before the shuffle."""
+    out: dict[str, list] = {}
+    for at in range(0, len(columns), BATCH):
+        some = columns[at : at + BATCH]
+        place = F.monotonically_increasing_id().alias("__o")
+        marked = df.select(place, *[no_nan(ref(c), type_of(df, c)).alias(f"v{i}") for i, c in enumerate(some)])
+        nth = F.row_number().over(Window.partitionBy("i").orderBy("__o"))
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").isNotNull().alias("there")) for i in range(len(some))])
+        long = marked.select("__o", F.explode(cells).alias("c")).filter("c.there").select("__o", "c.i")
+        firsts = long.withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth")
+        values = marked.join(F.broadcast(firsts.groupBy("__o").agg(F.collect_set("i").alias("of"))), "__o").orderBy("__o").collect()
+        for i, c in enumerate(some):
+            out[c] = [r[f"v{i}"] for r in values if i in r["of"]]
+    return out

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import shutil
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -13,6 +12,7 @@ from ..functions.values import ref
 from ..operators import gold
 from ..operators.clean import null_counts
 from ..operators.keys import with_row_number
+from ..sources.files import Files, whole_path
 from .clean import Lineage, clean, read_source
 from .ddl import SHARED, full_view_sql, summary_sql, warehouse_ddl
 from .diagram import markdown, mermaid
@@ -23,19 +23,37 @@ VERSION = "1.0"
 
 
 class Warehouse:
-    """Builds into ``output``: table by table in a staging folder, which then takes the old one's place.
+    """Builds into ``output``, a path or URI of a file system that driver and executors share.
 
-    ``output`` is a folder that driver and executors share, such as a mounted store.
+    Tables are written to a staging folder.  The old warehouse is renamed, the staging folder takes
+    its place, and only then the old one goes.  A build that dies between leaves the old warehouse
+    beside; the next look at this one puts it back.
     """
 
     def __init__(self, spark: SparkSession, root: str | Path, output: str | Path, version: str = VERSION):
-        self.spark, self.root, self.output, self.version = spark, str(root), Path(output), version
+        self.spark, self.root, self.output, self.version = spark, str(root), whole_path(str(output)), version
+        self.files = Files(spark)
+        self._recover()
+
+    def _recover(self) -> None:
+        old = f"{self.output}.old"
+        if not self.files.exists(self.output) and self.files.exists(old):
+            self.files.rename(old, self.output)
+
+    def _swap(self, staging: str) -> None:
+        old = f"{self.output}.old"
+        if self.files.exists(self.output):
+            self.files.delete(old)
+            self.files.rename(self.output, old)
+        self.files.rename(staging, self.output)
+        self.files.delete(old)
 
     def build(self, profiles: list[DatasetProfile]) -> dict:
         if not profiles:
             raise ValueError("no profiles to build")
-        staging = self.output.with_name(self.output.name + ".staging")
-        shutil.rmtree(staging, ignore_errors=True)
+        self._recover()
+        staging = f"{self.output}.staging"
+        self.files.delete(staging)
         stamp, snapshot = datetime.now(UTC).replace(microsecond=0).isoformat(), 1
         logs: dict[str, Lineage] = {}
         records, counts, fact_nulls, next_id = [], {}, {}, 1
@@ -43,11 +61,11 @@ class Warehouse:
             raw = read_source(self.spark, p, self.root)
             cleaned, logs[p.name] = clean(raw, p)
             records += column_records(raw, p)
-            silver = self._write(with_row_number(cleaned, "source_record_num"), staging / "cleaned" / p.name)
-            silver.drop("source_record_num").write.option("header", True).csv(str(staging / "cleaned_csv" / p.name))
+            silver = self._write(with_row_number(cleaned, "source_record_num"), f"{staging}/cleaned/{p.name}")
+            silver.drop("source_record_num").write.option("header", True).csv(f"{staging}/cleaned_csv/{p.name}")
             patients = gold.dim_patient_record(silver, p, dataset_id, next_id, snapshot)
-            patients.write.mode("append").parquet(str(staging / "gold/dim_patient_record"))
-            facts = self._write(gold.fact(silver, p, dataset_id, next_id, snapshot), staging / "gold" / p.fact_table)
+            patients.write.mode("append").parquet(f"{staging}/gold/dim_patient_record")
+            facts = self._write(gold.fact(silver, p, dataset_id, next_id, snapshot), f"{staging}/gold/{p.fact_table}")
             counts[p.fact_table] = logs[p.name].cleaned_rows
             there = [ref(c.fact_column) for c in p.fact_columns() if c.source in silver.columns]
             fact_nulls[p.name] = sum(null_counts(facts.select(*there)).values()) if there else 0
@@ -59,9 +77,9 @@ class Warehouse:
             "etl_audit_log": audit_rows(profiles, logs, fact_nulls, snapshot),
         }
         for name, rows in shared.items():
-            self._write(self.spark.createDataFrame(rows, SHARED[name].replace(" NOT NULL", "")), staging / "gold" / name)
+            self._write(self.spark.createDataFrame(rows, SHARED[name].replace(" NOT NULL", "")), f"{staging}/gold/{name}")
         for name, df in (("dim_dataset", gold.dim_dataset(self.spark, profiles, snapshot)), ("dim_age_bracket", gold.dim_age_bracket(self.spark)), ("dim_gender", gold.dim_gender(self.spark))):
-            self._write(df, staging / "gold" / name)
+            self._write(df, f"{staging}/gold/{name}")
         dictionary = [{"name": p.name, "display_name": p.display_name, "domain": p.domain, "description": p.description, "source_path": str(p.source_path), "fact_table": p.fact_table, "columns": [r for r in records if r["dataset"] == p.name]} for p in profiles]
         texts = {
             "schema.sql": warehouse_ddl(profiles),
@@ -71,18 +89,17 @@ class Warehouse:
             "schema.md": markdown(profiles, counts, stamp),
         }
         for name, text in texts.items():
-            (staging / name).write_text(text, encoding="utf-8")
-        shutil.rmtree(self.output, ignore_errors=True)
-        staging.rename(self.output)
+            self.files.write(f"{staging}/{name}", text)
+        self._swap(staging)
         self.register(profiles)
         return {"snapshot_id": snapshot, "tables": counts, "lineage": logs}
 
-    def _write(self, df: DataFrame, path: Path) -> DataFrame:
-        df.write.mode("overwrite").parquet(str(path))
-        return self.spark.read.parquet(str(path))
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.output / "gold" / name))
+        return self.spark.read.parquet(f"{self.output}/gold/{name}")
 
     def register(self, profiles: list[DatasetProfile]) -> None:
         """Temporary views of all tables and of the queries over them."""

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions.values import ref, strip, to_double, to_long
-from .inference import engine
+from .inference import engine, providers
+from .inference.tables import RANGES
 from .operators import clean as ops
 from .operators import gold, keys, stats
-from .plans.governance import audit_rows, lineage_counts
+from .plans.governance import audit_rows, column_records, lineage_counts
 from .plans.clean import clean
 from .plans.profile import Band, ColumnSpec, DatasetProfile, DropRule, TargetSpec, parse_profile
-from .sources.delimited import na_to_null, replace_tokens
+from .sources.delimited import na_to_null, read_delimited, replace_tokens
+
+cloudpickle.register_pickle_by_value(providers)  # workers need no copy of the package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,6 +32,11 @@ ORACLES: dict[str, str] = {}
 STRING, DOUBLE, LONG, INT = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the session's checkpoints, which all machines share."""
+    return f"{keys.checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None) -> Callable[[Callable], Callable]:
     """Register a function of a table reader and the session under its name."""
 
@@ -114,18 +126,17 @@ def _silver(t, p: DatasetProfile) -> DataFrame:
     return keys.numbered_by(_row_level(t(p.name), p), "source_record_num", KEY[p.name])
 
 
-def _first_ids(t) -> dict[str, int]:
-    """Each dataset's first patient_record_id: ids run on over datasets in order of their names."""
-    first, at = {}, 1
-    for p in PROFILES:
-        first[p.name] = at
-        at += _row_level(t(p.name), p).count()
-    return first
+def _first_id(t, name: str) -> int:
+    """A dataset's first patient_record_id: ids run on over datasets in order of their names."""
+    before = [_row_level(t(p.name), p).agg(F.count("*").alias("n")) for p in PROFILES if p.name < name]
+    return 1 + (reduce(DataFrame.unionAll, before).agg(F.sum("n")).first()[0] if before else 0)
 
 
 def _patients(t) -> DataFrame:
-    first = _first_ids(t)
-    return reduce(DataFrame.unionAll, [gold.dim_patient_record(_silver(t, p), p, i, first[p.name]) for i, p in enumerate(PROFILES, 1)])
+    """All datasets at once: their key columns are sorted and numbered in one go."""
+    rows = [gold.patient_rows(_row_level(t(p.name), p), p, i).withColumn("key", F.col(KEY[p.name]).cast("long")) for i, p in enumerate(PROFILES, 1)]
+    whole = reduce(DataFrame.unionAll, [r.select("dataset_id", "key", "age", "gender_id") for r in rows])
+    return gold.patient_records(keys.numbered_by(whole, "patient_record_id", "dataset_id", "key"))
 
 
 def _bracket_sql(v: str) -> str:
@@ -151,6 +162,19 @@ def scan_filter_project(t, spark):
     return t("orders").filter("o_totalprice > 200000 and o_orderstatus = 'O'").select("o_orderkey", "o_totalprice", "o_orderpriority")
 
 
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS price, "
+    "CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o_orderpriority || ', \"' || o_orderstatus || '\"' END AS note FROM orders"
+)
+def csv_scan(t, spark):
+    """A file with quotes, delimiters in cells and tokens for missing values, written and read back with types."""
+    price = F.when(F.col("o_orderstatus") == "P", "?").otherwise(F.col("o_totalprice").cast("string"))
+    note = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "n/a").otherwise(F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')))
+    folder = shared_folder(spark, "orders_csv")
+    t("orders").select("o_orderkey", price.alias("price"), note.alias("note")).write.options(header=True, quote='"', escape='"').csv(folder)
+    return read_delimited(spark, folder, ",", ["?"])
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED', '?') THEN NULL ELSE o_orderpriority END AS priority FROM orders")
 def na_tokens(t, spark):
     return t("orders").select("o_orderkey", na_to_null(F.col("o_orderpriority"), ["4-NOT SPECIFIED", "?"]).alias("priority"))
@@ -234,10 +258,14 @@ def label_binarize(t, spark):
     return df.select("o_orderkey", ops.encode_label(F.col("o_orderpriority"), STRING, ORDERS.target).alias("label"))
 
 
-@query("SELECT DISTINCT event_type AS value FROM events WHERE event_type NOT IN ('click', 'view')")
+_ODD = "SELECT 'p_brand' AS col, p_brand AS value FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12') UNION SELECT 'p_size', CAST(p_size AS VARCHAR) FROM part WHERE p_size NOT IN (1, 2) UNION SELECT 'p_type', p_type FROM part WHERE p_type <> 'none'"
+
+
+@query(f"WITH odd AS ({_ODD}) SELECT col, value FROM odd QUALIFY row_number() OVER (PARTITION BY col ORDER BY value) <= 20")
 def domain_violations(t, spark):
-    found = ops.domain_violations(t("events"), [ColumnSpec("event_type", "nominal", domain=["click", "view"])])
-    return spark.createDataFrame([(v,) for v in found.get("event_type", [])], "value string")
+    specs = [ColumnSpec("p_brand", "nominal", domain=["Brand#11", "Brand#12"]), ColumnSpec("p_size", "ordinal", domain=[1, 2]), ColumnSpec("p_type", "nominal", domain=["none"])]
+    found = ops.domain_violations(t("part"), specs)
+    return spark.createDataFrame([(c, v) for c, vs in found.items() for v in vs], "col string, value string")
 
 
 def _holed(t) -> DataFrame:
@@ -258,9 +286,10 @@ def missing_cells(t, spark):
     return stats.missing_cells(_holed(t).select("event_id", "user_id", "event_type", "value")).withColumnRenamed("rows", "n")
 
 
-@query(f"SELECT round(100.0 * count(*) FILTER (value IS NULL) / greatest(count(*), 1), 4) AS null_pct FROM {_HOLED}")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS col, round(100.0 * count(*) FILTER ({c} IS NULL) / greatest(count(*), 1), 4) AS null_pct FROM {_HOLED}" for c in ("event_id", "user_id", "value", "event_type")))
 def null_pct(t, spark):
-    return _holed(t).agg(F.round(F.lit(100.0) * F.count_if(F.col("value").isNull()) / F.greatest(F.count("*"), F.lit(1)), 4).alias("null_pct"))
+    records = column_records(_holed(t).drop("ts", "props"), EVENTS)
+    return spark.createDataFrame([(r["source_column"], r["null_pct"]) for r in records if r["declared_type"] and r["dtype"] != "absent"], "col string, null_pct double")
 
 
 @query("SELECT event_id, CAST(trunc(value) AS INTEGER) AS as_binary, value AS as_numeric, CAST(user_id AS VARCHAR) AS as_nominal, TRY_CAST(event_type AS DOUBLE) AS text_as_numeric, CAST(event_id AS BIGINT) AS as_identifier FROM events")
@@ -420,12 +449,15 @@ _FACT_SQL = f"WITH {_CLEAN_SQL} SELECT CAST(n AS BIGINT) AS fact_id, CAST(n + c
 
 @query(_FACT_SQL)
 def fact_build(t, spark):
-    return gold.fact(_silver(t, ORDERS), ORDERS, 3, _first_ids(t)["orders"])
+    return gold.fact(_silver(t, ORDERS), ORDERS, 3, _first_id(t, "orders"))
 
 
 @query(_FACT_SQL.replace("1 AS snapshot_id, 3 AS dataset_id, o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, ", ""))
 def fact_scan(t, spark):
-    return gold.fact(_silver(t, ORDERS), ORDERS, 3, _first_ids(t)["orders"]).select("fact_id", "patient_record_id", "customer_band", "label")
+    """Two columns, two keys and a band of a stored fact table."""
+    folder = shared_folder(spark, "fact_orders")
+    gold.fact(_silver(t, ORDERS), ORDERS, 3, _first_id(t, "orders")).write.parquet(folder)
+    return spark.read.parquet(folder).select("fact_id", "patient_record_id", "customer_band", "label")
 
 
 _VIEW_SQL = f"""WITH {_CLEAN_SQL}
@@ -435,7 +467,7 @@ _VIEW_SQL = f"""WITH {_CLEAN_SQL}
 
 
 def _full(t, spark) -> DataFrame:
-    first = _first_ids(t)["orders"]
+    first = _first_id(t, "orders")
     silver = _silver(t, ORDERS)
     return gold.full_view(gold.fact(silver, ORDERS, 3, first), gold.dim_patient_record(silver, ORDERS, 3, first), gold.dim_gender(spark), gold.dim_dataset(spark, PROFILES), ORDERS)
 
@@ -475,19 +507,46 @@ def topk(t, spark):
 
 
 # 2.9 inference
-_PART_KIND = "SELECT 'p_partkey' AS col, CASE WHEN count(DISTINCT p_partkey) = count(*) AND count(*) > 50 THEN 'identifier' ELSE 'numeric' END AS kind FROM part UNION ALL SELECT 'p_retailprice', 'numeric' UNION ALL SELECT 'p_size', CASE WHEN count(DISTINCT p_size) <= 8 THEN 'ordinal' ELSE 'numeric' END FROM part UNION ALL SELECT 'p_brand', 'nominal'"
+def _kind_sql(c: str, number: bool, whole: bool) -> str:
+    text = f"CASE WHEN count(DISTINCT {c}) <= 20 THEN 'nominal/HIGH' ELSE 'nominal/LOW' END"
+    digits = f"CASE WHEN {whole} AND count(DISTINCT {c}) <= 8 THEN 'ordinal/MEDIUM' ELSE 'numeric/HIGH' END"
+    known = f"WHEN count(DISTINCT {c}) = count({c}) AND count({c}) > 50 THEN 'identifier/HIGH' " if whole or not number else ""
+    return f"SELECT '{c}' AS col, CASE {known}WHEN count(DISTINCT {c}) = 2 THEN 'binary/HIGH' ELSE {digits if number else text} END AS kind FROM part"
 
 
-@query(_PART_KIND)
+@query(" UNION ALL ".join(_kind_sql(*c) for c in (("p_partkey", True, True), ("p_retailprice", True, False), ("p_size", True, True), ("p_brand", False, False), ("p_name", False, False))))
 def classify_columns(t, spark):
-    columns = engine.describe(t("part").select("p_partkey", "p_retailprice", "p_size", "p_brand"))
-    return spark.createDataFrame([(n, engine.classify(c)[0]) for n, c in columns.items()], "col string, kind string")
+    columns = engine.describe(t("part").select("p_partkey", "p_retailprice", "p_size", "p_brand", "p_name"))
+    return spark.createDataFrame([(n, "/".join(engine.classify(c)[:2])) for n, c in columns.items()], "col string, kind string")
 
 
-@query("SELECT 'quality' AS col, count(DISTINCT quality) AS n FROM labels HAVING count(DISTINCT quality) BETWEEN 2 AND 5 UNION ALL SELECT 'toxic', count(DISTINCT toxic) FROM labels HAVING count(DISTINCT toxic) BETWEEN 2 AND 5")
+_SMALL = "SELECT 0 AS place, 'doc_id' AS col, count(DISTINCT doc_id) AS n FROM labels UNION ALL SELECT 1, 'quality', count(DISTINCT quality) FROM labels UNION ALL SELECT 2, 'toxic', count(DISTINCT toxic) FROM labels"
+
+
+@query(f"SELECT col, 'MEDIUM' AS confidence, n || ' distinct values' AS reason FROM ({_SMALL}) WHERE n BETWEEN 2 AND 5 ORDER BY n, place DESC LIMIT 1")
 def target_candidates(t, spark):
-    counts = stats.column_counts(t("labels"))
-    return spark.createDataFrame([(c, s["distinct"]) for c, s in counts.items() if 2 <= s["distinct"] <= 5], "col string, n long")
+    return spark.createDataFrame([engine.detect_target(engine.describe(t("labels").select("doc_id", "quality", "toxic")))], "col string, confidence string, reason string")
+
+
+@query("SELECT DISTINCT n_regionkey AS value, CASE WHEN n_regionkey > 0 THEN 1 ELSE 0 END AS code FROM nation")
+def target_encoding(t, spark):
+    _, mapping = engine.target_encoding(engine.describe(t("nation").select("n_regionkey"))["n_regionkey"].listed)
+    return spark.createDataFrame(list(mapping.items()), f"value {t('nation').schema['n_regionkey'].dataType.simpleString()}, code int")
+
+
+_WINDOWS = [(name, *low, *high, *middle) for name, _, _, low, high, middle in RANGES]
+_RANGED = "SELECT 'o_totalprice' AS col, o_totalprice * 0.001 AS v FROM orders UNION ALL SELECT 'p_size', p_size FROM part UNION ALL SELECT 'user_id', user_id FROM events"
+
+
+@query(
+    f"WITH c AS ({_RANGED}), q AS (SELECT col, quantile_cont(v::DOUBLE, 0.05) AS lo, quantile_cont(v::DOUBLE, 0.95) AS hi, median(v::DOUBLE) AS mid FROM c GROUP BY col), "
+    f"w(place, name, a, b, c, d, e, f) AS (VALUES {', '.join(str((i, *w)) for i, w in enumerate(_WINDOWS))}) "
+    "SELECT col, arg_min(name, place) AS name FROM q LEFT JOIN w ON lo BETWEEN a AND b AND hi BETWEEN c AND d AND mid BETWEEN e AND f GROUP BY col"
+)
+def range_matching(t, spark):
+    given = {"o_totalprice": t("orders").select((F.col("o_totalprice") * 0.001).alias("o_totalprice")), "p_size": t("part").select("p_size"), "user_id": t("events").select("user_id")}
+    found = {c: engine.match_range(engine.describe(df)[c]) for c, df in given.items()}
+    return spark.createDataFrame([(c, w and w[0]) for c, w in found.items()], "col string, name string")
 
 
 @query("SELECT list_sort(list(DISTINCT event_type)) AS domain FROM events")
@@ -496,7 +555,7 @@ def domain_inference(t, spark):
     return spark.createDataFrame([(column.listed,)], "domain array<string>")
 
 
-@query("SELECT status, code FROM (VALUES ('F', 0), ('O', 1)) v(status, code)")
+@query("WITH s AS (SELECT min(o_orderstatus) AS lo, max(o_orderstatus) AS hi FROM orders WHERE o_orderstatus <> 'P') SELECT lo AS status, 0 AS code FROM s UNION ALL SELECT hi, 1 FROM s")
 def propose_mapping(t, spark):
     column = engine.describe(t("orders").filter("o_orderstatus <> 'P'").select("o_orderstatus"))["o_orderstatus"]
     return spark.createDataFrame(sorted(engine.propose_mapping(column)[0].items()), "status string, code int")
@@ -509,28 +568,42 @@ def age_unit_check(t, spark):
     return spark.createDataFrame([(round(found[0], 9) if found and found[0] else None,)], "factor double")
 
 
-@query("SELECT count(DISTINCT o_orderstatus) AS n, count(DISTINCT o_orderstatus) > 2 AS review FROM orders")
+@query("SELECT 'gender' AS col, count(DISTINCT o_orderstatus) || ' genders: rare ones may need a drop rule' AS reason FROM orders HAVING count(DISTINCT o_orderstatus) > 2")
 def gender_check(t, spark):
-    column = engine.describe(t("orders").select(F.col("o_orderstatus").alias("gender")))["gender"]
-    return spark.createDataFrame([(column.distinct, len(column.listed) > 2)], "n long, review boolean")
+    columns = engine.describe(t("orders").select(F.col("o_orderstatus").alias("gender"), (F.col("o_totalprice") > 100000).cast("int").alias("label")))
+    found = engine.infer_columns(columns)[3]
+    return spark.createDataFrame([(d.column, d.reason) for d in found if (d.column, d.field) == ("gender", "drop_rows_where")], "col string, reason string")
+
+
+_SURE = {"1-URGENT": engine.HIGH, "2-HIGH": engine.MEDIUM}
 
 
-@query("SELECT o_orderstatus AS col, min(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END) AS rank FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus AS col, ['HIGH', 'MEDIUM', 'LOW'][1 + min(CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END)] AS confidence FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
 def effective_confidence(t, spark):
-    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
-    return t("orders").groupBy(F.col("o_orderstatus").alias("col")).agg(F.min(rank).alias("rank"))
+    """The best decision of each column (here a status for each), without the dropped one (P)."""
+    pairs = t("orders").select("o_orderstatus", "o_orderpriority").distinct().collect()  # a row for each status and priority
+    decisions = [engine.Decision(r[0], "type", None, _SURE.get(r[1], engine.LOW), "") for r in pairs]
+    draft = engine.Draft({"columns": [{"source": "P", "drop": True}]}, decisions)
+    return spark.createDataFrame([(c, sure) for (c, _), sure in draft.effective().items()], "col string, confidence string")
 
 
-_DOTS = [("even", [1.0 if i % 2 == 0 else 0.0 for i in range(64)]), ("odd", [1.0 if i % 2 else 0.0 for i in range(64)])]
+_ROLES = {"even": [1.0 if i % 2 == 0 else 0.0 for i in range(64)], "odd": [1.0 if i % 2 else 0.0 for i in range(64)]}
 
 
-@query("WITH d AS (SELECT vec_id, list_sum(list_transform(range(1, 65, 2), lambda i: embedding[i]::DOUBLE)) AS even, list_sum(list_transform(range(2, 65, 2), lambda i: embedding[i]::DOUBLE)) AS odd FROM embeddings) SELECT vec_id, CASE WHEN even >= odd THEN 'even' ELSE 'odd' END AS role, round(abs(even - odd), 4) AS margin FROM d")
+@query(
+    "WITH d AS (SELECT vec_id, list_sum(list_transform(range(1, 65, 2), lambda i: embedding[i]::DOUBLE)) AS even, list_sum(list_transform(range(2, 65, 2), lambda i: embedding[i]::DOUBLE)) AS odd, "
+    "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(32) AS norm FROM embeddings) "
+    "SELECT vec_id, CASE WHEN even >= odd THEN 'even' ELSE 'odd' END AS role, round(greatest(even, odd) / norm, 4) AS cosine, round(abs(even - odd) / norm, 4) AS margin FROM d"
+)
 def role_similarity(t, spark):
-    def dot(weights):
-        return F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, weights)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    roles, compare = _ROLES, providers.nearest
+
+    def run(batches):
+        for b in batches:
+            found = compare(np.array(b["embedding"].tolist(), float), list(roles), np.array(list(roles.values())))
+            yield pd.DataFrame({"vec_id": b["vec_id"], "role": [r for r, _, _ in found], "cosine": [round(c, 4) for _, c, _ in found], "margin": [round(m, 4) for _, _, m in found]})
 
-    df = t("embeddings").select("vec_id", *[dot(w).alias(n) for n, w in _DOTS])
-    return df.select("vec_id", F.when(F.col("even") >= F.col("odd"), "even").otherwise("odd").alias("role"), F.round(F.abs(F.col("even") - F.col("odd")), 4).alias("margin"))
+    return t("embeddings").select("vec_id", "embedding").mapInPandas(run, f"vec_id {t('embeddings').schema['vec_id'].dataType.simpleString()}, role string, cosine double, margin double")
 
 
 # 2.11 governance

@@ -2,8 +2,11 @@
 
 import json
 import os
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
 
+import numpy as np
 import pytest
 import yaml
 
@@ -173,3 +176,46 @@ def test_command_line(spark, tmp_path, capsys):
     assert [r["source_column"] for r in json.loads(capsys.readouterr().out)] == ["id", "age", "class"]
     summary = spark.read.parquet(str(tmp_path / "out/gold/fact_d")).groupBy("label").count().collect()
     assert sorted(map(tuple, summary)) == [(0, 40), (1, 40)]
+
+
+class Replies(BaseHTTPRequestHandler):
+    """Answers like a local daemon and like a cloud model."""
+
+    asked: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        self.asked.append((self.path, body, self.headers.get("x-goog-api-key")))
+        text = json.dumps({"columns": [{"name": "bs", "role": "lab", "description": "Blood sugar.", "confidence": "HIGH", "reason": "name"}, "odd"]})
+        reply = {"response": f"```json\n{text}\n```"} if self.path == "/api/generate" else {"candidates": [{"content": {"parts": [{"text": text}]}}]}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(json.dumps(reply).encode())
+
+    def log_message(self, *args):
+        pass
+
+
+def test_models_over_http(monkeypatch, tmp_path):
+    server = HTTPServer(("127.0.0.1", 0), Replies)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, columns = f"http://127.0.0.1:{server.server_port}", {"bs": column("bs", numeric=True, min=1.0, max=9.0, median=4.0)}
+    monkeypatch.setenv("GEMINI_API_KEY", "key")
+    monkeypatch.setitem(providers.PROVIDERS, "ollama", lambda: providers.OllamaProvider(url))
+    monkeypatch.setitem(providers.PROVIDERS, "gemini", lambda: providers.GeminiProvider(url))
+    for backend, model in (("ollama", "small"), ("gemini", "cloud")):
+        found, said = Chain([backend], model, "m", tmp_path)(columns, ["bs"], "out", "file.csv")
+        assert (found["bs"].role, found["bs"].confidence, found["bs"].provider) == ("lab", "HIGH", backend) and "1 calls" in said
+    (path, body, _), (cloud, asked, key) = Replies.asked
+    assert path == "/api/generate" and body["options"]["temperature"] == 0 and body["format"] == "json" and '"median": 4.0' in body["prompt"]
+    assert cloud.endswith(":generateContent") and key == "key" and asked["generationConfig"]["responseMimeType"] == "application/json"
+    server.shutdown()
+    assert Chain(["ollama"], "small", "m")(columns, ["bs"], "out", "f")[0] == {}
+
+
+def test_nearest_role():
+    names, reference = ["x", "y"], np.array([[1.0, 0], [0, 1]])
+    (first, cosine, lead), zero = providers.nearest(np.array([[3.0, 4], [0, 0]]), names, reference)
+    assert first == "y" and abs(cosine - 0.8) < 1e-12 and abs(lead - 0.2) < 1e-12 and zero == ("x", 0.0, 0.0)
+    sure = providers.by_similarity([column("a"), column("b")], [("lab", 0.8, 0.2), ("age", 0.6, 0.01)])
+    assert [(s["column"], s["confidence"]) for s in sure] == [("a", "HIGH")]

@@ -1,5 +1,8 @@
 """Cleaning operators on the cases where tools differ."""
 
+import random
+
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from starloom.functions.values import strip, to_double, to_long
 from starloom.operators import clean as ops
 from starloom.operators import gold, keys, stats
+from starloom.operators.quantiles import group_quantiles, quantiles
 from starloom.plans.profile import ColumnSpec, DropRule, TargetSpec, parse_profile, snake
 from starloom.sources.delimited import read_delimited, sniff_delimiter
 from starloom.streaming.incremental import append_stream
@@ -154,3 +158,27 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         append_stream(rows, profile, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("a", "b", "label").collect())) == [(2.0, "l", 1), (18.0, "h", 0)]
+
+
+def test_quantiles_of_few_and_of_many_values(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.choice([None, float(rng.randrange(40)), rng.random()])) for _ in range(500)] + [("c", None), ("d", 2.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    some = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    want = {k: np.quantile([v for x, v in rows if x == k and v is not None], some).tolist() for k in "abd"}
+    for few in (None, 0):
+        got = group_quantiles(df, "k", "v", some, few)
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert quantiles(df.filter("k = 'c'"), {"x": F.col("v")}, [0.5]) == {"x": [None]} and quantiles(df, {}, [0.5]) == {}
+
+
+def test_domain_violations_of_several_columns(spark):
+    df = spark.createDataFrame([(f"a{i:02}", f"b{i}") for i in range(40)], "a string, b string")
+    found = ops.domain_violations(df, [ColumnSpec("a", "nominal", domain=["a00"]), ColumnSpec("b", "nominal", domain=[f"b{i}" for i in range(39)])])
+    assert found == {"a": [f"a{i:02}" for i in range(1, 21)], "b": ["b39"]}
+
+
+def test_first_values(spark):
+    rows = [(None if i < 3 else i, "x" if i % 2 else None, float("nan")) for i in range(20)]
+    got = stats.first_values(spark.createDataFrame(rows, "a int, b string, c double"), ["a", "b", "c"])
+    assert got == {"a": [3, 4, 5, 6, 7], "b": ["x"] * 5, "c": []}

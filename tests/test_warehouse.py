@@ -2,15 +2,20 @@
 
 import json
 import os
+import random
+import statistics
+from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from starloom import discover_profiles, load_profile
 from starloom.plans.clean import clean, read_source
 from starloom.plans.profile import parse_profile
 from starloom.plans.warehouse import Warehouse, catalog
 from starloom.sources.delimited import read_delimited
+from starloom.sources.files import Files
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -82,10 +87,10 @@ def test_governance(demo):
     lineage = warehouse.table("metadata_lineage").orderBy("lineage_id").collect()
     assert [(r.pipeline_stage, r.row_count, r.positive_count, r.negative_count) for r in lineage] == [("raw", 6, 4, 2), ("cleaned", 5, 3, 2), ("warehouse", 5, 3, 2)]
     assert warehouse.table("etl_audit_log").count() == 4 + 2 + 2 * 2
-    assert "CREATE OR REPLACE VIEW vw_disease_summary" in (warehouse.output / "schema.sql").read_text()
-    assert (warehouse.output / "schema.mmd").read_text().startswith("erDiagram")
-    assert "| fact_demo |" in (warehouse.output / "schema.md").read_text()
-    assert json.loads((warehouse.output / "data_dictionary.json").read_text())["datasets"][0]["name"] == "demo"
+    assert "CREATE OR REPLACE VIEW vw_disease_summary" in (Path(warehouse.output) / "schema.sql").read_text()
+    assert (Path(warehouse.output) / "schema.mmd").read_text().startswith("erDiagram")
+    assert "| fact_demo |" in (Path(warehouse.output) / "schema.md").read_text()
+    assert json.loads((Path(warehouse.output) / "data_dictionary.json").read_text())["datasets"][0]["name"] == "demo"
 
 
 def test_rebuild_replaces(demo):
@@ -136,3 +141,62 @@ def test_heart_file(spark):
     assert count("age_bracket") == {"18-39": 15, "40-59": 197, "60-79": 91}
     assert count("chol_band") == {"desirable": 49, "borderline": 98, "high": 156}
     assert count("bp_band") == {"normal": 60, "elevated": 75, "stage-1-htn": 70, "stage-2-htn": 93, "crisis": 5}
+
+
+def heart_rows():
+    """A stand-in for the public Cleveland file: the same columns and kinds of values, drawn by a fixed rule."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(303):
+        ca, thal = rng.choice(["0.0", "1.0", "2.0", "3.0"]), rng.choice(["3.0", "6.0", "7.0"])
+        rows.append([f"{rng.randrange(29, 78)}.0", f"{rng.randrange(2)}.0", f"{rng.randrange(1, 5)}.0", f"{rng.randrange(94, 201)}.0", f"{rng.randrange(126, 565)}.0", f"{rng.randrange(2)}.0", f"{rng.randrange(3)}.0", f"{rng.randrange(71, 203)}.0", f"{rng.randrange(2)}.0", f"{rng.randrange(63) / 10}", f"{rng.randrange(1, 4)}.0", ca, thal, str(rng.choice([0, 0, 1, 2, 3, 4]))])
+    for i in (5, 90, 177, 300):
+        rows[i][11] = "?"
+    for i in (11, 200):
+        rows[i][12] = "?"
+    return rows
+
+
+def test_heart_stand_in(spark, tmp_path):
+    names, rows = "age sex cp trestbps chol fbs restecg thalach exang oldpeak slope ca thal num".split(), heart_rows()
+    profile = load_profile(ROOT / "profiles/heart_disease.yaml")
+    file = tmp_path / profile.source_path
+    file.parent.mkdir(parents=True, exist_ok=True)
+    file.write_text("\n".join(",".join(r) for r in [names, *rows]), encoding="utf-8")
+    warehouse = Warehouse(spark, tmp_path, tmp_path / "out")
+    log = warehouse.build([profile])["lineage"]["heart_disease"]
+    assert (log.raw_rows, log.raw_columns, log.raw_missing_cells, log.duplicate_rows) == (303, 14, 6, 0)
+    assert log.raw_target == dict(Counter(r[13] for r in rows))
+    sick = sum(r[13] != "0" for r in rows)
+    assert log.cleaned_target == {"positive": sick, "negative": 303 - sick}
+    fact = warehouse.table("fact_heart_disease").orderBy("fact_id").collect()
+    for at, name in ((11, "ca"), (12, "thal")):
+        middle = statistics.median([float(r[at]) for r in rows if r[at] != "?"])
+        assert [float(r[name]) for r in fact] == [middle if r[at] == "?" else float(r[at]) for r in rows]
+    patients = {r["age_bracket"]: r["n"] for r in warehouse.table("dim_patient_record").groupBy("age_bracket").agg(F.count("*").alias("n")).collect()}
+    bracket = lambda a: "0-17" if a < 18 else "18-39" if a < 40 else "40-59" if a < 60 else "60-79" if a < 80 else "80+"
+    assert patients == dict(Counter(bracket(float(r[0])) for r in rows))
+    assert not any(warehouse.check([profile]).values())
+
+
+def test_a_build_that_dies_leaves_the_old_warehouse(spark, tmp_path, monkeypatch):
+    (tmp_path / "demo.csv").write_text(CSV, encoding="utf-8")
+    profile, out = parse_profile(PROFILE), tmp_path / "out"
+    first = Warehouse(spark, tmp_path, out)
+    first.build([profile])
+    before = first.table("fact_demo").count()
+    rename = Files.rename
+
+    def stop(self, old, new):
+        if old.endswith(".staging"):
+            raise OSError("the machine is gone")
+        rename(self, old, new)
+
+    monkeypatch.setattr(Files, "rename", stop)
+    with pytest.raises(OSError, match="gone"):
+        first.build([profile])
+    monkeypatch.undo()
+    again = Warehouse(spark, tmp_path, out)
+    assert again.table("fact_demo").count() == before and not (tmp_path / "out.old").exists()
+    again.build([profile])
+    assert not (tmp_path / "out.old").exists() and not (tmp_path / "out.staging").exists()
