@@ -154,6 +154,13 @@ def words_of(texts: list[bytes | None]) -> Words:
     return Words(hash_runs(joined, start, length), length, eight[start], np.searchsorted(start, begin))
 
 
+def count_words(texts: list[bytes | None]) -> np.ndarray:
+    """How many words each text has."""
+    word = TABLE[np.frombuffer(b" " + b" ".join([t or b"" for t in texts]), np.uint8)] != 0
+    starts = np.concatenate([[0], np.cumsum(word[1:] & ~word[:-1])])
+    return np.diff(starts[np.cumsum([0] + [len(t or b"") + 1 for t in texts][:-1] + [len(texts[-1] or b"")])]) if texts else np.zeros(0, np.int64)
+
+
 def hash_runs(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """64-bit hashes of runs of bytes; eight bytes more stand behind the last."""
     eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))

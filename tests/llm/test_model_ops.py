@@ -197,6 +197,27 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == want
 
 
+def test_near_duplicates_with_other_ids(spark):
+    rng = random.Random(40)
+    base = sentence(rng, "en", 80).split()
+    rows = [("b", " ".join(base)), ("a", " ".join(mutate(rng, base, 1))), ("a", sentence(rng, "fr", 50)), ("c", " ".join(base)), ("c", " ".join(base)), ("d", " ".join(mutate(rng, base, 1))), ("d", " ".join(mutate(rng, base, 2)))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [("a", "a"), ("a", "a"), ("b", "a"), ("c", "a"), ("c", "a"), ("d", "a"), ("d", "a")]
+    kept = sorted((r["doc_id"], r["text"]) for r in near_dedup.drop_near_duplicates(df).collect())
+    assert kept == sorted([rows[1], rows[2]])
+
+
+def test_many_near_copies_are_one_class(spark, monkeypatch):
+    """700 near copies around the limit, with hot keys and without, against all pairs."""
+    rng = random.Random(41)
+    base = sentence(rng, "de", 200).split()
+    rows = [(i, " ".join(mutate(rng, base, 4)), "de") for i in range(700)]
+    want = brute_classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(90, 70), (70, 80), (5, 5)], "a long, b long")
     got = {r["id"]: r["label"] for r in components(links).collect()}

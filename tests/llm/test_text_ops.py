@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from starloom.llm import decontaminate, html_extract, line_dedup, mpeg_audio, packing, url_filter
@@ -140,8 +142,69 @@ def test_no_part_of_an_article_is_lost():
         assert html_extract.main_text(page).split("\n") == want
 
 
-def test_extraction_is_linear():
-    html_extract.main_text("<p>" * 20_000 + "x" + "<a '" * 2000)
+def brute_passages(lines, window, surge):
+    """Runs between borders, joined: a passage goes on over a border unless the sum from there falls under the threshold."""
+    total = lambda i: sum(x.weight for x in lines[i : i + window])
+    surge = min(surge, max(map(total, range(len(lines))), default=0))
+    runs, run = [], []
+    for i, x in enumerate(lines):
+        if x.text:
+            run.append(i)
+        else:
+            runs.append((run, i))
+            run = []
+    runs.append((run, None))
+    found, open_ = [], None
+    for run, border in runs:
+        if open_ is None and any(lines[i].weight and total(i) >= surge for i in run):
+            open_ = run[0]
+        if open_ is not None and (border is None or total(border) < surge):
+            found.append((open_, len(lines) if border is None else border))
+            open_ = None
+    return found
+
+
+def test_passages_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        lines = [html_extract.Line("x" if (w := rng.choice([None, 0, 5, 40, 90, 200])) is not None else "", float(w or 0)) for _ in range(rng.randrange(0, 25))]
+        for window in (1, 2, 5, 1000):
+            assert html_extract.passages(lines, window, 86) == brute_passages(lines, window, 86)
+
+
+def test_windows_decide():
+    text = lambda n: "word " * n
+    page = f"<div>Buy this now</div><section><p>{text(40)}</p><p>Yes.</p><p>{text(30)}</p></section><div>Call us today</div>"
+    want = [text(40).strip(), "Yes.", text(30).strip()]
+    assert html_extract.main_text(page).split("\n") == want
+    assert html_extract.main_text(page, window=4).split("\n") == ["Buy this now", *want]
+    assert html_extract.main_text(page, window=1000).split("\n") == ["Buy this now", *want]
+    lines = html_extract.lines_of(page)
+    assert [len(html_extract.passages(lines, surge=s)) for s in (5, 86, 10_000)] == [3, 1, 1]
+
+
+def test_names_are_only_evidence(monkeypatch):
+    long = "<p>" + "text " * 60 + "</p>"
+    page = f"<nav><a href=/>Home</a></nav><div class=ad>Buy now</div><article><h1>Title</h1>{long}<p>End.</p></article><footer>foot</footer>"
+    want = "Title\n" + ("text " * 60).strip() + "\nEnd."
+    assert html_extract.main_text(page) == want
+    monkeypatch.setattr(html_extract, "BOILER_NAMES", frozenset())
+    assert html_extract.main_text(page) == want
+    assert html_extract.main_text(page.replace("article", "div")) == want
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '", "<a <", "<a ", '<a b="', '<a b=">" ', "<!--", "<script>", "</p", "<p>", "<div>", "</div><b>"])
+def test_extraction_is_linear(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.perf_counter()
+    html_extract.main_text("<p>start</p>" + page)
+    assert time.perf_counter() - began < 15  # a second or two on an idle machine
+
+
+def test_long_pages(spark):
+    page = "<article>" + "".join(f"<p>Paragraph {k}.</p>" for k in range(60_000)) + "</article>"
+    row = html_extract.extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert row["text"].split("\n") == [f"Paragraph {k}." for k in range(60_000)] and row["n_chars"] == len(row["text"])
 
 
 # URL filters
@@ -172,6 +235,14 @@ def test_rule_index_with_wildcards():
     assert index.best("b.example", "/x/y/z") is None and len(index.by) == 3
 
 
+def test_url_filter_ties_and_nothing(spark):
+    rules = [url_filter.Rule("block", "a.com", "/x/"), url_filter.Rule("allow", "a.com", "/*/"), url_filter.Rule("block", "com", "/1234/")]
+    pages = spark.createDataFrame([(1, "http://a.com/x/"), (2, "http://b.com/1234/"), (2, "http://b.com/1234/")], "page_id long, url string")
+    got = sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, rules).collect())
+    assert got == [(1, "a.com/*/", "allow"), (2, "com/1234/", "block"), (2, "com/1234/", "block")]  # equally long: allow
+    assert url_filter.url_filter(pages.filter("page_id > 9")).collect() == []
+
+
 # audio
 def test_audio_round_trip(spark):
     texts = [None, "", "x", "é" * 32, "y" * 63, "z" * 64, "\x00" * 65, "long é " * 20_000]
@@ -219,6 +290,18 @@ def test_stereo_checksums_and_all_offsets(spark):
     assert len(offsets) > 2 * mpeg_audio.SEEK_ENTRIES and row["seek_offsets"] == offsets and row["frames"] == len(offsets)
 
 
+def test_layer_two_is_not_verified(spark):
+    head = bytes([0xFF, 0xFC, 0x18, 0xC0])  # layer II, 32 kbit/s, mono, with a checksum
+    size = mpeg_audio.header(head).size
+    media = head.ljust(size, b"\1") * 4
+    a = mpeg_audio.parse(media)
+    assert (len(a.offsets), a.checked, a.wrong, a.unverified) == (4, 0, 0, 4)
+    table = spark.createDataFrame([(1, bytearray(media)), (2, None), (3, bytearray(b"junk"))], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in mpeg_audio.parse_media(table).collect()}
+    assert got[1]["unverified"] == 4 and got[2]["frames"] == got[3]["frames"] == 0
+    assert mpeg_audio.media_digest(docs(spark, ["x"]).filter("doc_id > 5")).collect() == []
+
+
 def test_layer_three():
     head = bytes([0xFF, 0xFB, 0x90, 0x00])  # 128 kbit/s, 44,100 Hz, stereo
     first = bytearray(head.ljust(417, b"\0"))
@@ -258,6 +341,14 @@ def test_packing(spark):
     assert packing.pack(docs(spark, ["x"]).filter("doc_id > 5")).collect() == []
 
 
+def test_packing_rows_that_share_an_id(spark):
+    df = docs(spark, ["lorem " * 3000, "ipsum"]).withColumn("doc_id", F.lit(7))
+    got = packing.pack(df.union(df)).collect()
+    assert len(got) == 2 * len(packing.pack(df).collect()) and {r["doc_id"] for r in got} == {7}
+    places = [(r["sequence_id"], r["offset"]) for r in got]
+    assert len({*places}) == len(places)
+
+
 def test_local_search_empties_bins():
     lengths = [6, 5, 5, 4, 4, 3, 3]
     bins = packing.local_search([[0, 5], [1, 3], [2, 4], [6]], lengths, 10)
