@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm import decontaminate, langid, line_dedup, near_dedup, packing
-from starloom.llm.common import checkpoint
+from starloom.llm.common import checkpoint, forget
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = checkpoint(docs)
-    return docs
+    """All stages, each on a copy of what the last one kept; a copy goes when the next one is there."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+        if last is not None:
+            forget(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
