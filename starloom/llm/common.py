@@ -13,7 +13,7 @@ from typing import Any, NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised pass holds at once (a longer text is one step).
@@ -24,6 +24,8 @@ BATCH_ROWS = 1000
 GROUP_WORDS = 100_000
 #: A key with over this part (one in so many) of the rows is hot; there are no more such keys than this.
 HOT = 1000
+#: Rows from which a key is worth the trouble.
+LEAST_HOT = 1000
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -194,23 +196,34 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def hot_keys(df: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """(key, n) of the hot keys, ``HOT`` at most, and the number of rows."""
-    total = df.count()
-    return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") * HOT >= total), total
+def hot_of(counts: DataFrame, key: str, n: str = "n") -> tuple[dict, int]:
+    """{key: n} of the hot keys, ``HOT`` at most, and the number of rows, from a row for each key."""
+    rows = Observation()
+    most = counts.observe(rows, F.sum(n).alias("total")).select(key, n).orderBy(F.desc(n)).limit(HOT).collect()
+    total = rows.get["total"] or 0
+    return {k: m for k, m in most if m * HOT >= total and m >= LEAST_HOT}, total
 
 
-def join_hot(left: DataFrame, right: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+def hot_keys(df: DataFrame, key: str) -> tuple[dict, int]:
+    """As ``hot_of``, from the rows themselves."""
+    return hot_of(df.groupBy(key).agg(F.count("*").alias("n")), key)
+
+
+def join_hot(left: DataFrame, right: DataFrame, hot: dict, key: str) -> DataFrame:
     """An inner join on a key that is unique on the right; the left rows of hot keys stay where they are."""
-    few = F.broadcast(hot.select(key))
-    return left.join(F.broadcast(right.join(few, key)), key).unionByName(left.join(few, key, "left_anti").join(right, key))
+    if not hot:
+        return left.join(right, key)
+    few = F.col(key).isin(*hot)
+    return left.filter(few).join(F.broadcast(right.filter(few)), key).unionByName(left.filter(~few).join(right.filter(~few), key))
 
 
-def one_text_each(texts: DataFrame, hot: DataFrame) -> DataFrame:
+def one_text_each(texts: DataFrame, hot: dict) -> DataFrame:
     """(key, id, text) with one row, of the least id, for each hot key; other rows as they are."""
-    few = F.broadcast(hot.select("key"))
-    one = texts.join(few, "key").groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text"))
-    return texts.join(few, "key", "left_anti").select("key", "id", "text").unionByName(one)
+    if not hot:
+        return texts.select("key", "id", "text")
+    few = F.col("key").isin(*hot)
+    one = texts.filter(few).groupBy("key").agg(F.min("id").alias("id"), F.first("text").alias("text"))
+    return texts.filter(~few).select("key", "id", "text").unionByName(one)
 
 
 def star_groups(pairs: DataFrame, texts: DataFrame, judge: Callable, schema: str) -> DataFrame:
@@ -222,8 +235,7 @@ def star_groups(pairs: DataFrame, texts: DataFrame, judge: Callable, schema: str
     texts meet in one task.
     """
     sizes = checkpoint(pairs.groupBy("centre").agg(F.ceil(F.sum(F.col("n_words") + 20) / GROUP_WORDS).alias("parts"), F.count("*").alias("n")))
-    hot = sizes.filter(F.col("n") * HOT >= (sizes.agg(F.sum("n")).first()[0] or 0))
-    dealt = join_hot(pairs, sizes.drop("n"), hot, "centre").select("centre", F.col("member").alias("key"), F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"))
+    dealt = join_hot(pairs, sizes.drop("n"), hot_of(sizes, "centre")[0], "centre").select("centre", F.col("member").alias("key"), F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"))
     heads = sizes.select("centre", F.col("centre").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     sent = texts.join(dealt.unionByName(heads), "key").select("centre", "part", "key", "text")
     names = [f.split()[0] for f in schema.split(", ")]

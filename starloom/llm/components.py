@@ -24,6 +24,6 @@ def components(links: DataFrame) -> DataFrame:
         moved = checkpoint(join_hot(stepped, jump, hot_keys(stepped, "new")[0], "new").select("id", "label", F.least("new", "far").alias("new")))
         forget(stepped, *[last] * (last is not None))
         labels, last = moved.select("id", F.col("new").alias("label")), moved
-        if moved.filter("label <> new").isEmpty():
+        if not moved.agg(F.count_if(F.col("label") != F.col("new"))).first()[0]:
             forget(both)
             return labels

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_WORDS, HOT, checkpoint, column, forget, hot_keys, join_hot, map_texts, mix, one_text_each, shingles, star_groups, words_of
+from .common import GROUP_WORDS, checkpoint, column, forget, hot_keys, hot_of, join_hot, map_texts, mix, one_text_each, shingles, star_groups, words_of
 from .components import components
 
 #: Words of a shingle, least similarity, bands, and components in a band: 0.8 misses all bands once in 100,000 times.
@@ -126,11 +126,11 @@ def _assign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     signed = checkpoint(signatures(rows))
     worded = signed.filter("id is not null and n_words > 0")
     reps = checkpoint(worded.groupBy("key").agg(F.min("id").alias("rep_id"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")))
-    hot_texts = reps.filter(F.col("n") * HOT >= worded.count()).select("key")
+    hot_texts = hot_of(reps, "key")[0]
     banded = reps.select("key", "n_words", F.explode("bands").alias("bucket"))
     drawn = F.min_by("key", F.xxhash64("bucket", "key")).alias("drawn")
     shared = checkpoint(banded.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("last"), F.count("*").alias("size"), drawn).filter("least <> last"))
-    hot = shared.filter(F.col("size") * HOT >= (shared.agg(F.sum("size")).first()[0] or 0)).select("bucket")
+    hot = hot_of(shared, "bucket", "size")[0]
     met = checkpoint(join_hot(banded, shared.select("bucket", "least", "drawn"), hot, "bucket"))
     wanted = reps.join(met.select("key").distinct(), "key", "left_semi").select("key", "rep_id")
     of_rep = one_text_each(rows.filter("id is not null and text is not null"), hot_texts).join(wanted, "key").filter("id = rep_id")
@@ -143,12 +143,22 @@ def _assign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     forget(met)
     found = checkpoint(_meet(join_hot(named, split.select("bucket", "parts"), hot, "bucket"), reps.select("key", "bands"), texts))
     forget(texts, named)
-    if not found.isEmpty():
+    if found.count():
         links = checkpoint(links.unionByName(found).dropDuplicates(["a", "b"]))
-        labels = components(links)
+        labels = _merged(labels, found)
     return _classes(signed, reps, hot_texts, links, labels)
 
 
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, label) after more links: components of the labels that these connect."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    labels = checkpoint(labels.unionByName(ends.join(labels, "id", "left_anti").withColumn("label", F.col("id"))))
+    side = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    between = found.join(side("a"), "a").join(side("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    new = components(between).select(F.col("id").alias("label"), F.col("label").alias("new"))
+    return labels.join(new, "label", "left").select("id", F.coalesce("new", "label").alias("label"))
+
+
 def _pairs(met: DataFrame, centres) -> DataFrame:
     pairs = met.select(F.col("key").alias("member"), F.explode(centres).alias("centre"), "n_words")
     return pairs.filter("member <> centre").distinct()

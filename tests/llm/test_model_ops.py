@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starloom.llm import langid, line_dedup, near_dedup, packing, substring_dedup, toxicity
+from starloom.llm import common, langid, line_dedup, near_dedup, packing, substring_dedup, toxicity
 from starloom.llm.common import words_of
 from starloom.llm.components import components
 
@@ -200,7 +200,7 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
 def test_near_duplicates_with_other_ids(spark):
     rng = random.Random(40)
     base = sentence(rng, "en", 80).split()
-    rows = [("b", " ".join(base)), ("a", " ".join(mutate(rng, base, 1))), ("a", sentence(rng, "fr", 50)), ("c", " ".join(base)), ("c", " ".join(base)), ("d", " ".join(mutate(rng, base, 1))), ("d", " ".join(mutate(rng, base, 2)))]
+    rows = [("b", " ".join(base)), ("a", " ".join(mutate(rng, base, 1))), ("a", sentence(rng, "fr", 50)), ("c", " ".join(base)), ("c", " ".join(base)), ("d", " ".join(mutate(rng, base, 1))), ("d", " ".join(mutate(rng, base, 1)))]
     df = spark.createDataFrame(rows, "doc_id string, text string")
     got = sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(df).collect())
     assert got == [("a", "a"), ("a", "a"), ("b", "a"), ("c", "a"), ("c", "a"), ("d", "a"), ("d", "a")]
@@ -214,8 +214,9 @@ def test_many_near_copies_are_one_class(spark, monkeypatch):
     base = sentence(rng, "de", 200).split()
     rows = [(i, " ".join(mutate(rng, base, 4)), "de") for i in range(700)]
     want = brute_classes(rows)
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
-    assert got == want
+    for least in (1000, 1):
+        monkeypatch.setattr(common, "LEAST_HOT", least)
+        assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == want
 
 
 def test_components(spark):
@@ -391,8 +392,10 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     rows = [(i, " ".join(unique(rng, 40) + (passage if i % 3 else line) + unique(rng, 40)), "en") for i in range(60)]
     rows += [(100 + i, rows[0][1], "en") for i in range(30)]
     want = {i: [(40, 100)] for i in range(60) if i % 3} | {i: [(0, 100)] for i in (0, *range(100, 130))}
-    for hot in (1000, 3):
+    for hot, least in ((1000, 1000), (1000, 1), (3, 1)):
         monkeypatch.setattr(substring_dedup, "HOT", hot)
+        monkeypatch.setattr(common, "HOT", hot)
+        monkeypatch.setattr(common, "LEAST_HOT", least)
         assert dict(passages_of(spark, rows)) == want
 
 
