@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, langid, line_dedup, mpeg_audio, near_dedup, packing, substring_dedup, toxicity, url_filter
+from . import centroids, decontaminate, html_extract, langid, line_dedup, merkle, mpeg_audio, near_dedup, packing, substring_dedup, token_counts, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,15 +53,65 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_line_dedup, op3_toxicity, op4_best_fit_packing, op5_decontamination, op6_mpeg_audio, op7_language_id, op8_near_dedup, op9_substring_dedup, op10_url_filters)
+    for f in (op1_html_extraction, op2_line_dedup, op3_toxicity, op4_best_fit_packing, op5_decontamination, op6_mpeg_audio, op7_language_id, op8_near_dedup, op9_substring_dedup, op10_url_filters, op11_merkle_manifest, op12_centroid_clustering, op13_token_counts)
 }
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _KEY = _LOW.format("trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 _WORDS = "regexp_extract_all(" + _LOW.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+def _enc(v: str) -> str:
+    return f"coalesce(strlen({v}) || ':' || {v}, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_enc(v) for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")) + ")"
+
+
+#: crc32 of a text of ASCII characters, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda ch: ascii(ch)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"
+#: All levels of the trees of ``start``(tree, hs): pairs of hashes become one, a single one becomes its own hash.
+_LEVELS = "SELECT tree, 0 AS level, hs FROM {0} UNION ALL SELECT tree, level + 1, list_transform(range(1, (len(hs) + 1) // 2 + 1), lambda i: sha256(hs[2 * i - 1] || coalesce(hs[2 * i], ''))) FROM {1} WHERE len(hs) > 1"
+#: A node's sibling on a level, behind the side it is on.
+_STEP = "CASE WHEN (place >> level) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(hs[xor(place >> level, 1) + 1], '')"
+
+_KEPT = "SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64"
+_NEAREST = "SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT p.r, m.c, list_sum(list_transform(list_zip(p.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM points p, {0} m) GROUP BY r"
+
+
+def _clusters_sql(rounds: int = 10, k: int = 8) -> str:
+    parts = [
+        f"kept AS MATERIALIZED ({_KEPT}), points AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, v) AS r, vec_id, v FROM kept)",
+        f"m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM points QUALIFY c < {k})",
+    ]
+    for i in range(rounds):
+        parts += [
+            f"a{i} AS MATERIALIZED ({_NEAREST.format(f'm{i}')})",
+            f"s{i} AS (SELECT c, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM a{i} JOIN points USING (r), (SELECT unnest(range(1, 65)) AS j) GROUP BY c, j)",
+            f"m{i + 1} AS MATERIALIZED (SELECT m.c, coalesce(u.v, m.v) AS v FROM m{i} m LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{i} GROUP BY c) u ON u.c = m.c)",
+        ]
+    return (
+        f"WITH {', '.join(parts)}, a{rounds} AS MATERIALIZED ({_NEAREST.format(f'm{rounds}')}) "
+        f"SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256 "
+        f"FROM a{rounds} a JOIN points USING (r) JOIN m{rounds} m ON m.c = a.c"
+    )
+
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": f"""
         WITH base AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -93,4 +143,18 @@ ORACLES: dict[str, str] = {
         best AS (SELECT r, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
                  FROM numbered JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM numbered LEFT JOIN best USING (r)""",
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_CRC.format('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS given FROM documents),
+        placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+        grown AS (SELECT lang AS tree, list(leaf ORDER BY place) AS hs FROM placed GROUP BY lang),
+        levels AS ({_LEVELS.format('grown', 'levels')}),
+        subroots AS MATERIALIZED (SELECT tree AS lang, hs[1] AS subroot, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place FROM levels WHERE len(hs) = 1),
+        planted AS (SELECT 0 AS tree, list(subroot ORDER BY place) AS hs FROM subroots),
+        tops AS ({_LEVELS.format('planted', 'tops')}),
+        upper AS (SELECT lang, subroot, (SELECT hs[1] FROM tops WHERE len(hs) = 1) AS root, list({_STEP} ORDER BY level) FILTER (len(hs) > 1) AS steps FROM subroots, tops GROUP BY lang, subroot),
+        lower AS (SELECT doc_id, placed.lang, leaf, given, place, list({_STEP} ORDER BY level) FILTER (len(hs) > 1) AS steps FROM placed JOIN levels ON placed.lang IS NOT DISTINCT FROM tree GROUP BY ALL),
+        proofs AS (SELECT doc_id, leaf, subroot, root, given, list_concat(coalesce(w.steps, []), coalesce(u.steps, [])) AS steps FROM lower w JOIN upper u ON w.lang IS NOT DISTINCT FROM u.lang),
+        folded AS (SELECT *, list_reduce(list_prepend(given, steps), lambda a, s: sha256(CASE WHEN s[1] = 'L' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root FROM proofs)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(steps, lambda s: s[2:]), ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
+    "op12_centroid_clustering": _clusters_sql(),
 }
