@@ -11,11 +11,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.values import is_numeric, no_nan, ref, to_double, type_of
 from ..operators.quantiles import quantiles
-from ..operators.stats import BATCH, column_counts
+from ..operators.stats import column_counts, drawn_values
 from ..sources.delimited import read_delimited, sniff_delimiter, strip_strings
 from . import tables
 from .providers import Column, Suggestion
@@ -24,8 +23,6 @@ HIGH, MEDIUM, LOW = "HIGH", "MEDIUM", "LOW"
 RANK = {HIGH: 0, MEDIUM: 1, LOW: 2}
 #: Distinct values that are looked at: more of them decide nothing.
 LISTED = 24
-#: Values that are shown of a column with more.
-SAMPLED = 12
 NA_VALUES = ("?", "", " ", "N/A", "n/a", "NA")
 
 
@@ -79,40 +76,24 @@ def match_range(column: Column) -> tuple[str, str, str | None] | None:
 
 
 def describe(df: DataFrame) -> dict[str, Column]:
-    """Statistics of all columns: wide aggregates, then the distinct values of columns that have few."""
+    """Statistics of all columns; the number of jobs does not depend on how many they are.
+
+    One pass gives counts, extremes and hashes of all columns, some give their percentiles, and one
+    more each the distinct values of columns with few and drawn values of those with many.
+    """
     counts, out = column_counts(df), {}
     numbers = [c for c in df.columns if is_numeric(type_of(df, c))]
-    stats: dict[str, dict] = {}
-    for at in range(0, len(numbers), BATCH):
-        some = numbers[at : at + BATCH]
-        values = {c: to_double(ref(c), type_of(df, c)) for c in some}
-        row = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values.values()) for n, f in (("min", F.min), ("max", F.max))]).first()
-        middle = quantiles(df, values, [0.05, 0.5, 0.95])
-        for i, c in enumerate(some):
-            stats[c] = {"min": row[f"min{i}"], "max": row[f"max{i}"]} | dict(zip(("p5", "median", "p95"), middle[c], strict=True))
+    middle = quantiles(df, {c: to_double(ref(c), type_of(df, c)) for c in numbers}, [0.05, 0.5, 0.95])
     few = [c for c in df.columns if counts[c]["distinct"] <= LISTED]
     listed = {}
     if few:
         row = df.agg(*[F.collect_set(no_nan(ref(c), type_of(df, c))).alias(f"s{i}") for i, c in enumerate(few)]).first()
         listed = {c: sorted(row[f"s{i}"], key=str) for i, c in enumerate(few)}
-    drawn = sampled_values(df, [c for c in df.columns if not listed.get(c)])
+    drawn = drawn_values(df, {c: counts[c]["drawn"] for c in df.columns if not listed.get(c)})
     for name in df.columns:
         kind, n = type_of(df, name), counts[name]
-        out[name] = Column(name, n["rows"], n["nulls"], n["distinct"], is_numeric(kind), isinstance(kind, (T.DoubleType, T.FloatType)), n["whole"], listed.get(name), listed.get(name) or drawn[name], **stats.get(name, {}))
-    return out
-
-
-def sampled_values(df: DataFrame, columns: list[str], n: int = SAMPLED) -> dict[str, list]:
-    """The n values of each column with the least hashes, of a few columns in one pass; a task keeps n of each before the shuffle."""
-    out: dict[str, list] = {c: [] for c in columns}
-    for at in range(0, len(columns), BATCH):
-        some = columns[at : at + BATCH]
-        cells = [F.struct(F.lit(i).alias("i"), F.xxhash64(ref(c).cast("string")).alias("h"), ref(c).cast("string").alias("text")) for i, c in enumerate(some)]
-        nth = F.row_number().over(Window.partitionBy("i").orderBy("h", "text"))
-        long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").filter("text is not null")
-        for r in long.withColumn("nth", nth).filter(F.col("nth") <= n).orderBy("i", "nth").collect():
-            kind = type_of(df, some[r["i"]])
-            out[some[r["i"]]].append(int(r["text"]) if isinstance(kind, T.IntegralType) else float(r["text"]) if isinstance(kind, (T.DoubleType, T.FloatType)) else r["text"])
+        numeric = {"min": n["min"], "max": n["max"]} | dict(zip(("p5", "median", "p95"), middle[name], strict=True)) if name in middle else {}
+        out[name] = Column(name, n["rows"], n["nulls"], n["distinct"], is_numeric(kind), isinstance(kind, (T.DoubleType, T.FloatType)), n["whole"], listed.get(name), listed.get(name) or drawn[name], **numeric)
     return out
 
 

@@ -7,11 +7,11 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..functions.values import equals, is_numeric, is_one_of, no_nan, ref, to_double, to_long, type_of
 from ..plans.profile import Band, ColumnSpec, DropRule, TargetSpec, parse_bound
 from .quantiles import group_quantiles, quantiles
+from .stats import first_of_each
 
 
 def drop_condition(df: DataFrame, rule: DropRule) -> Column:
@@ -137,9 +137,8 @@ def domain_violations(df: DataFrame, specs: list[ColumnSpec]) -> dict[str, list[
         return {}
     pairs = [F.struct(F.lit(s.source).alias("column"), F.when(~F.coalesce(is_one_of(ref(s.source), type_of(df, s.source), s.domain), F.lit(True)), ref(s.source).cast("string")).alias("value")) for s in checked]
     odd = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").filter("value is not null").distinct()
-    nth = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     found: dict[str, list[str]] = {}
-    for r in odd.withColumn("nth", nth).filter("nth <= 20").orderBy("column", "nth").collect():
+    for r in first_of_each(odd, "column", ["value"], 20).orderBy("column", "rank").collect():
         found.setdefault(r["column"], []).append(r["value"])
     return found
 
