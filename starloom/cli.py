@@ -46,7 +46,7 @@ def build_report(profiles: list, done: dict, output: str) -> list[str]:
         lines += [f"    {r['column']} {r['operator']}: {r['matched']} rows dropped" + (" (no such column)" if r["skipped"] else "") for r in log.drop_rules]
         lines += [f"    {i['column']} imputed by {i['strategy']}: {i['missing_before']} missing, {i['missing_after']} left" for i in log.imputations]
     total = sum(done["tables"].values())
-    return [*lines, f"{total} patient records in {len(done['tables'])} fact tables; tables, schema and governance files are in {output}"]
+    return [*lines, f"{total} patient records in {len(done['tables'])} fact tables; tables, schema and governance files are in {done.get('folder', output)}"]
 
 
 def list_profiles(args: argparse.Namespace) -> int:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.values import is_numeric, no_nan, ref, to_double, type_of
 from ..operators.quantiles import quantiles
-from ..operators.stats import column_counts, drawn_values
+from ..operators.stats import column_records, drawn_values
 from ..sources.delimited import read_delimited, sniff_delimiter, strip_strings
 from . import tables
 from .providers import Column, Suggestion
@@ -81,7 +81,7 @@ def describe(df: DataFrame) -> dict[str, Column]:
     One pass gives counts, extremes and hashes of all columns, some give their percentiles, and one
     more each the distinct values of columns with few and drawn values of those with many.
     """
-    counts, out = column_counts(df), {}
+    counts, out = column_records(df), {}
     numbers = [c for c in df.columns if is_numeric(type_of(df, c))]
     middle = quantiles(df, {c: to_double(ref(c), type_of(df, c)) for c in numbers}, [0.05, 0.5, 0.95])
     few = [c for c in df.columns if counts[c]["distinct"] <= LISTED]

@@ -6,10 +6,16 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import ref, to_double, to_long, type_of
 from ..plans.profile import Band, DatasetProfile
 from .clean import band, normalise
+from .keys import fresh
+from .stats import hashes
+
+#: Bits of a Bloom filter for each key, bits that a key sets, and words of 64 bits that a filter has at most (8 MB).
+BITS_A_KEY, BITS_OF_A_KEY, MOST_WORDS = 12, 4, 1 << 20
 
 # The rows of the small dimensions.
 AGE_BRACKETS = [("0-17", 1, 0.0, 17.999), ("18-39", 2, 18.0, 39.999), ("40-59", 3, 40.0, 59.999), ("60-79", 4, 60.0, 79.999), ("80+", 5, 80.0, None)]
@@ -97,6 +103,11 @@ def full_view(facts: DataFrame, patients: DataFrame, genders: DataFrame, dataset
     return joined.select("patient_record_id", "snapshot_id", "source_record_num", "age", gender, "age_bracket", *[ref(c) for c in keep], f"{profile.name}_label")
 
 
+def stored_by_key(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
+    """Append to a table whose files are bucketed and sorted by a key: joins of such tables on it move no rows."""
+    df.repartition(buckets, ref(key)).write.mode("append").bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+
+
 def summary(facts: dict[str, DataFrame]) -> DataFrame:
     """(dataset, total_records, positive_cases, positive_rate_pct) of each fact table; an empty one has nulls."""
 
@@ -117,9 +128,35 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
-    """Rows whose key is there but not in the parent table."""
+    """Rows whose key is there but not in the parent table.
+
+    A Bloom filter of the parent's keys, whose size is bounded, is broadcast.  Rows that it does not
+    know are orphans at once and are not moved.  Of the others only the distinct keys are shuffled, to
+    be looked for in the parent; the few that the filter took wrongly then find their rows.
+    """
     parent_key = parent_key or key
-    return child.filter(ref(key).isNotNull()).join(parent.select(ref(parent_key).alias("__parent")), ref(key) == F.col("__parent"), "left_anti")
+    left, right = type_of(child, key), type_of(parent, parent_key)
+    same = None if left == right else "bigint" if all(isinstance(k, T.IntegralType) for k in (left, right)) else "double" if all(isinstance(k, T.NumericType) for k in (left, right)) else "string"
+    typed = lambda c: c.cast(same) if same else c
+    known = parent.select(typed(ref(parent_key)).alias("k")).filter("k is not null")
+    words = min(MOST_WORDS, 1 << max(0, (known.count() * BITS_A_KEY // 64).bit_length()))
+    k, word, filled = fresh(child, "k"), fresh(child, "word"), fresh(child, "filled")
+    at, mask = _bloom(F.col("k"), words)
+    bloom = known.select(at.alias(word), mask.alias("mask")).groupBy(word).agg(F.bit_or("mask").alias(filled))
+    at, mask = _bloom(F.col(k), words)
+    there = child.filter(ref(key).isNotNull()).withColumn(k, typed(ref(key))).withColumn(word, at)
+    told = there.join(F.broadcast(bloom), word, "left").withColumn(filled, F.coalesce(F.col(filled), F.lit(0)).bitwiseAND(mask) == mask)
+    columns = [ref(c) for c in child.columns]
+    doubtful = told.filter(F.col(filled))
+    lost = doubtful.select(k).distinct().join(known.withColumnRenamed("k", k), k, "left_anti")
+    return told.filter(~F.col(filled)).select(*columns).unionAll(doubtful.join(lost, k, "left_semi").select(*columns))
+
+
+def _bloom(key: Column, words: int) -> tuple[Column, Column]:
+    """The word of a blocked Bloom filter and the bits in it that a key sets."""
+    at, bits = hashes(key)
+    one = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(bits, 6 * j).bitwiseAND(63).cast("int")) for j in range(BITS_OF_A_KEY)]
+    return F.pmod(at, F.lit(words)), reduce(Column.bitwiseOR, one)
 
 
 def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:

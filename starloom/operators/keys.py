@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.values import ref
+
+#: Ranges for each shuffle partition, and keys drawn for each range.
+RANGES, DRAWN = 4, 32
 
 
 def with_row_number(df: DataFrame, name: str, start: int = 1) -> DataFrame:
@@ -39,15 +45,42 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A copy in the shared checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+def numbered_by(df: DataFrame, name: str, *keys: str, ranges: int | None = None) -> DataFrame:
+    """Add numbers from 1 in the order of keys that are unique together.
+
+    Two passes over the keys alone come first: one draws bounds of ranges (the keys with the least
+    hashes), one counts the keys of each range, which gives a table of what precedes it.  Rows are then
+    dealt by range, once, and numbered inside their range.  Bounds only balance the work: the numbers
+    do not depend on them, nor on how the shuffle is cut, so nothing needs a checkpoint.
+    """
+    ranges = ranges or RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[ref(k) for k in keys])
+    drawn = df.select(*[ref(k) for k in keys]).orderBy(F.xxhash64(*[ref(k) for k in keys]), *[ref(k) for k in keys]).limit(ranges * DRAWN)
+    sample = [r[0] for r in drawn.sort(*[ref(k) for k in keys]).select(F.to_json(F.struct(*[ref(k) for k in keys]))).collect()]
+    bounds = sample[DRAWN::DRAWN] if len(sample) == ranges * DRAWN else []  # fewer keys than that are one range
+    if not bounds:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*[ref(k) for k in keys])).cast("long"))
+    kind = df.select(key.alias("k")).schema["k"].dataType.simpleString()
+    within = _place(key, F.from_json(F.lit("[" + ",".join(bounds) + "]"), f"array<{kind}>"), len(bounds))
+    counts = dict(df.select(within.alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect())
+    before = [0]
+    for p in range(len(bounds)):
+        before.append(before[-1] + counts.get(p, 0))
+    part = fresh(df, "part")
+    nth = F.row_number().over(Window.partitionBy(part).orderBy(*[ref(k) for k in keys]))
+    placed = df.withColumn(part, within).withColumn(name, nth + F.get(F.from_json(F.lit(str(before)), "array<bigint>"), F.col(part)))
+    return placed.drop(part)
 
 
-def numbered_by(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Add numbers from 1 in the order of keys that are unique together: a range sort, then counts of its partitions.
+def _place(key: Column, bounds: Column, n: int) -> Column:
+    """How many of the ascending bounds are not above the key, by bisection."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.get(bounds, at + s - 1) <= key), at + s).otherwise(at))
 
-    The sorted rows are checkpointed: run twice, a shuffle that reads other columns may be cut into other partitions.
-    """
-    return with_row_number(checkpointed(df.sort(*keys)), name)
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -89,6 +89,11 @@ def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def column_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
+    """For each column: rows, nulls, distinct values and whether all numbers are whole."""
+    return {c: {k: r[k] for k in ("rows", "nulls", "distinct", "whole")} for c, r in column_records(df, columns).items()}
+
+
+def column_records(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
     """For each column: rows, nulls, distinct values, whether all numbers are whole, least and greatest number, and hashes of some values.
 
     One job for any number of columns: cells are counted by (column, 64-bit hash), of which each task

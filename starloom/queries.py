@@ -20,6 +20,7 @@ from .operators import clean as ops
 from .operators import gold, keys, stats
 from .plans.governance import audit_rows, column_records, lineage_counts
 from .plans.clean import clean
+from .plans.warehouse import BUCKETS
 from .plans.profile import Band, ColumnSpec, DatasetProfile, DropRule, TargetSpec, parse_profile
 from .sources.delimited import na_to_null, read_delimited, replace_tokens
 
@@ -467,9 +468,12 @@ _VIEW_SQL = f"""WITH {_CLEAN_SQL}
 
 
 def _full(t, spark) -> DataFrame:
-    first = _first_id(t, "orders")
-    silver = _silver(t, ORDERS)
-    return gold.full_view(gold.fact(silver, ORDERS, 3, first), gold.dim_patient_record(silver, ORDERS, 3, first), gold.dim_gender(spark), gold.dim_dataset(spark, PROFILES), ORDERS)
+    """Fact and patients are stored by patient_record_id, as the build stores them, so the view joins them where they are."""
+    first, silver, stored = _first_id(t, "orders"), _silver(t, ORDERS), uuid.uuid4().hex
+    parts = {"fact": gold.fact(silver, ORDERS, 3, first), "patient": gold.dim_patient_record(silver, ORDERS, 3, first)}
+    for name, df in parts.items():
+        gold.stored_by_key(df, f"{name}_{stored}", shared_folder(spark, name), "patient_record_id", BUCKETS)
+    return gold.full_view(spark.table(f"fact_{stored}"), spark.table(f"patient_{stored}"), gold.dim_gender(spark), gold.dim_dataset(spark, PROFILES), ORDERS)
 
 
 @query(_VIEW_SQL)

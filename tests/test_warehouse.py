@@ -5,6 +5,7 @@ import os
 import random
 import statistics
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -87,10 +88,10 @@ def test_governance(demo):
     lineage = warehouse.table("metadata_lineage").orderBy("lineage_id").collect()
     assert [(r.pipeline_stage, r.row_count, r.positive_count, r.negative_count) for r in lineage] == [("raw", 6, 4, 2), ("cleaned", 5, 3, 2), ("warehouse", 5, 3, 2)]
     assert warehouse.table("etl_audit_log").count() == 4 + 2 + 2 * 2
-    assert "CREATE OR REPLACE VIEW vw_disease_summary" in (Path(warehouse.output) / "schema.sql").read_text()
-    assert (Path(warehouse.output) / "schema.mmd").read_text().startswith("erDiagram")
-    assert "| fact_demo |" in (Path(warehouse.output) / "schema.md").read_text()
-    assert json.loads((Path(warehouse.output) / "data_dictionary.json").read_text())["datasets"][0]["name"] == "demo"
+    assert "CREATE OR REPLACE VIEW vw_disease_summary" in Path(warehouse.path("schema.sql")).read_text()
+    assert Path(warehouse.path("schema.mmd")).read_text().startswith("erDiagram")
+    assert "| fact_demo |" in Path(warehouse.path("schema.md")).read_text()
+    assert json.loads(Path(warehouse.path("data_dictionary.json")).read_text())["datasets"][0]["name"] == "demo"
 
 
 def test_rebuild_replaces(demo):
@@ -179,24 +180,79 @@ def test_heart_stand_in(spark, tmp_path):
     assert not any(warehouse.check([profile]).values())
 
 
+class Gone(Exception):
+    pass
+
+
 def test_a_build_that_dies_leaves_the_old_warehouse(spark, tmp_path, monkeypatch):
+    """The machine goes before the files are whole and before the manifest is there, a second warehouse looks at the folder each time."""
     (tmp_path / "demo.csv").write_text(CSV, encoding="utf-8")
     profile, out = parse_profile(PROFILE), tmp_path / "out"
     first = Warehouse(spark, tmp_path, out)
-    first.build([profile])
-    before = first.table("fact_demo").count()
-    rename = Files.rename
-
-    def stop(self, old, new):
-        if old.endswith(".staging"):
-            raise OSError("the machine is gone")
-        rename(self, old, new)
-
-    monkeypatch.setattr(Files, "rename", stop)
-    with pytest.raises(OSError, match="gone"):
+    with pytest.raises(FileNotFoundError):
+        first.table("fact_demo")
+    old = first.build([profile])["folder"]
+    rows = sorted(map(tuple, first.table("fact_demo").collect()), key=str)
+    bigger = parse_profile(PROFILE | {"cleaning": {}})
+    for name, step in (("write", 3), ("claim", 1)):
+        calls, real = [0], getattr(Files, name)
+
+        def stop(self, *args, calls=calls, real=real, step=step):
+            calls[0] += 1
+            if calls[0] == step:
+                raise Gone
+            return real(self, *args)
+
+        monkeypatch.setattr(Files, name, stop)
+        with pytest.raises(Gone):
+            first.build([bigger])
+        monkeypatch.undo()
+        second = Warehouse(spark, tmp_path, out)
+        assert second.latest().folder == old and sorted(map(tuple, second.table("fact_demo").collect()), key=str) == rows
+    # a manifest that was not written to its end is no manifest, and its number is not taken again
+    (out / "manifests" / "00000002.json").write_text('{"snapshot": "ha')
+    assert Warehouse(spark, tmp_path, out).latest().folder == old
+    done = first.build([profile])
+    assert done["build"] == 3 and second.latest().folder == done["folder"]
+    # after the manifest is there the new build counts, even if the machine goes before the old ones do
+    monkeypatch.setattr(Warehouse, "_tidy", lambda self: (_ for _ in ()).throw(Gone()))
+    with pytest.raises(Gone):
         first.build([profile])
     monkeypatch.undo()
-    again = Warehouse(spark, tmp_path, out)
-    assert again.table("fact_demo").count() == before and not (tmp_path / "out.old").exists()
-    again.build([profile])
-    assert not (tmp_path / "out.old").exists() and not (tmp_path / "out.staging").exists()
+    assert second.latest().folder not in (old, done["folder"]) and second.table("fact_demo").count() == 5
+
+
+def test_builders_and_a_reader_at_once(spark, tmp_path):
+    """Builders that publish at the same moment all get a number of their own, a reader stays with its snapshot."""
+    out = tmp_path / "out"
+    houses = [Warehouse(spark, tmp_path, out, keep=100) for _ in range(8)]
+    for i in range(8):
+        (out / "snapshots" / f"s{i}").mkdir(parents=True)
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda i: houses[i]._publish({"snapshot": f"s{i}", "buckets": 1, "bucketed": []}), range(8)))
+    assert sorted(numbers) == list(range(1, 9))
+    assert [m["snapshot"] for _, m in houses[0]._manifests()] == [f"s{i}" for i in sorted(range(8), key=lambda i: -numbers[i])]
+    (tmp_path / "demo.csv").write_text(CSV, encoding="utf-8")
+    profile, house = parse_profile(PROFILE), Warehouse(spark, tmp_path, tmp_path / "two")
+    house.build([profile])
+    reader = house.latest()
+    before = reader.table("fact_demo")
+    (tmp_path / "demo.csv").write_text("\n".join(CSV.splitlines()[:3]) + "\n9;30;Male;a;1;x;yes\n8;30;Male;b;1;x;no\n", encoding="utf-8")
+    other = Warehouse(spark, tmp_path, tmp_path / "two")
+    other.build([profile])
+    assert before.count() == 5 and reader.table("dim_patient_record").count() == 5 and other.table("fact_demo").count() == 4
+    assert not any(house.check([profile]).values())
+    other.keep = 1
+    other._tidy()
+    assert [p.name for p in (tmp_path / "two" / "snapshots").iterdir()] == [other.latest().folder.rsplit("/", 1)[-1]]
+
+
+def test_views_move_no_rows(demo, spark):
+    _, warehouse, _ = demo
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts, patients = warehouse.table("fact_demo"), warehouse.table("dim_patient_record")
+        plan = facts.join(patients, "patient_record_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
