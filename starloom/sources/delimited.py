@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.values import INTEGER, NUMBER, ref, strip, to_double
+from .quoted import read_quoted
 
 # The missing-value tokens that tabular readers take by default.
 DEFAULT_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -63,8 +64,9 @@ def apply_types(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def read_text_columns(spark: SparkSession, path: str, delimiter: str = ",", multiline: bool = False) -> DataFrame:
-    """Every column as text, in the order of the header."""
-    return spark.read.options(header=True, sep=delimiter, quote='"', escape='"', multiLine=multiline, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    """Every column as text, in the order of the header.  With ``multiline`` quoted cells may hold line breaks; files are split all the same."""
+    plain, whole = (spark.read.options(header=True, sep=delimiter, quote='"', escape='"', multiLine=m, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False) for m in (False, True))
+    return read_quoted(spark, path, delimiter, plain.csv(path), whole.csv(path)) if multiline else plain.csv(path)
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", na_values: Iterable[str] = (), multiline: bool = False) -> DataFrame:
