@@ -71,6 +71,18 @@ def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
     return get
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the frame does not have, one for each name."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def fold(id_col: str) -> Column:
     """crc32 of the id as text, mod 4; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4

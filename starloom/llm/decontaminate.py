@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from .common import TABLE, checkpoint, column, map_batches, map_texts, mix, rows_of, shared, words_of
+from .common import TABLE, checkpoint, column, fresh, map_batches, map_texts, mix, rows_of, shared, words_of
 
 #: Words of a window, bytes of items that one pass searches for (its tables take some six times that), and windows of a piece.
 WINDOW, MAX_BYTES, PIECE = 13, 16 << 20, 1000
@@ -192,7 +192,9 @@ def _join_hits(df: DataFrame, text_col: str, hits: list[DataFrame]) -> DataFrame
         every = every.unionByName(h)
     united = every.groupBy("__k1", "__k2").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     none = [F.array().cast("array<long>"), F.array().cast("array<string>")]
-    joined = df.withColumns(dict(zip(("__k1", "__k2"), _text_key(text_col), strict=True))).join(united, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    own = fresh(df, "__k1", "__k2")
+    keyed = df.withColumns(dict(zip(own, _text_key(text_col), strict=True)))
+    joined = keyed.join(united.withColumnsRenamed(dict(zip(("__k1", "__k2"), own, strict=True))), own, "left").drop(*own)
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     count = F.coalesce(F.when(F.col(text_col).isNotNull(), F.size(words)), F.lit(0)).cast("long")
     # runs of several blocks: in order, those that touch are one

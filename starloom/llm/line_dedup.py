@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import checkpoint, column, map_batches, map_texts, rows_of
+from .common import checkpoint, column, fresh, map_batches, map_texts, rows_of
 
 #: Up to so many frequent keys (16 bytes each) are broadcast; more are joined.
 BROADCAST_KEYS = 1_000_000
@@ -59,23 +59,22 @@ def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_ch
     # beyond the bound each document gets its own frequent keys by joins on hashes; a text without a
     # line that could go has no hash and meets nothing
     row = [F.when(F.length(text_col) > 0, F.xxhash64(F.lit(i), F.col(text_col))) for i in (1, 2)]
-    tagged = df.withColumns({"__r1": row[0], "__r2": row[1]})
+    r1, r2, keys = fresh(df, "__r1", "__r2", "__keys")
 
     def emit(batch, texts):
-        r1, r2 = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("__r1", "__r2"))
         mine = [[h for h in {*_keys(t, min_chars)[1]} if h is not None] for t in texts]
         h = np.frombuffer(b"".join(x for m in mine for x in m), "<i8").reshape(-1, 2)
         times = [len(m) for m in mine]
-        return {"__r1": np.repeat(r1, times), "__r2": np.repeat(r2, times), "h1": h[:, 0], "h2": h[:, 1]}
+        return {n: np.repeat(column(batch, n).to_numpy(zero_copy_only=False), times) for n in (r1, r2)} | {"h1": h[:, 0], "h2": h[:, 1]}
 
-    distinct = tagged.filter("__r1 is not null").select("__r1", "__r2", text_col).dropDuplicates(["__r1", "__r2"])
-    mine = map_texts(distinct, text_col, emit, "__r1 long, __r2 long, h1 long, h2 long").join(frequent, ["h1", "h2"])
-    mine = mine.groupBy("__r1", "__r2").agg(F.collect_list(F.struct("h1", "h2")).alias("__keys"))
+    distinct = df.select(row[0].alias(r1), row[1].alias(r2), F.col(text_col).alias("text")).filter(f"{r1} is not null").dropDuplicates([r1, r2])
+    mine = map_texts(distinct, "text", emit, f"{r1} long, {r2} long, h1 long, h2 long").join(frequent, ["h1", "h2"])
+    mine = mine.groupBy(r1, r2).agg(F.collect_list(F.struct("h1", "h2")).alias(keys))
 
     def sets(batch):
-        return [frozenset(np.array([[k["h1"], k["h2"]]], "<i8").tobytes() for k in ks or ()) for ks in column(batch, "__keys").to_pylist()]
+        return [frozenset(np.array([[k["h1"], k["h2"]]], "<i8").tobytes() for k in ks or ()) for ks in column(batch, keys).to_pylist()]
 
-    return _cut(tagged.join(mine, ["__r1", "__r2"], "left").drop("__r1", "__r2"), text_col, min_chars, sets).drop("__keys")
+    return _cut(df.withColumns({r1: row[0], r2: row[1]}).join(mine, [r1, r2], "left").drop(r1, r2), text_col, min_chars, sets).drop(keys)
 
 
 def _cut(df: DataFrame, text_col: str, min_chars: int, sets) -> DataFrame:

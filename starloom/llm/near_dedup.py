@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_WORDS, checkpoint, column, forget, hot_keys, hot_of, join_hot, map_texts, mix, one_text_each, shingles, star_groups, words_of
+from .common import GROUP_WORDS, checkpoint, column, forget, fresh, hot_keys, hot_of, join_hot, map_texts, mix, one_text_each, shingles, star_groups, words_of
 from .components import components
 
 #: Words of a shingle, least similarity, bands, and components in a band: 0.8 misses all bands once in 100,000 times.
@@ -238,11 +238,12 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = _assign(df, id_col, text_col).filter("doc_id is not null")
     other = (F.col("doc_id") != F.col("class_id")) | (F.col("key") != F.col("class_key"))
-    odd = checkpoint(found.groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.max(other).alias("gone"), F.count("*").alias("n")).filter("gone or n > 1"))
-    same_row = [df[id_col] == F.col("__id"), F.xxhash64(df[text_col]) == F.col("__key")]
-    kept = df.join(odd.filter("gone").select("__id", "__key"), same_row, "left_anti")
-    again = odd.filter("not gone").select("__id", "__key")
+    doc, key = fresh(df, "__id", "__key")
+    odd = checkpoint(found.groupBy(F.col("doc_id").alias(doc), F.col("key").alias(key)).agg(F.max(other).alias("gone"), F.count("*").alias("n")).filter("gone or n > 1"))
+    same_row = [df[id_col] == F.col(doc), F.xxhash64(df[text_col]) == F.col(key)]
+    kept = df.join(odd.filter("gone").select(doc, key), same_row, "left_anti")
+    again = odd.filter("not gone").select(doc, key)
     if again.isEmpty():
         return kept
-    once = kept.join(again, same_row, "left_semi").withColumn("__key", F.xxhash64(text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
+    once = kept.join(again, same_row, "left_semi").withColumn(key, F.xxhash64(text_col)).dropDuplicates([id_col, key]).drop(key)
     return kept.join(again, same_row, "left_anti").unionByName(once)
