@@ -297,7 +297,7 @@ def infer_profile(spark: SparkSession, path: str, name: str | None = None, targe
     """
     file = PurePosixPath(path)
     delimiter, sure = sniff_delimiter(spark, path)
-    df = strip_strings(read_delimited(spark, path, delimiter, NA_VALUES)).persist()
+    df = strip_strings(read_delimited(spark, path, delimiter, NA_VALUES, multiline=True)).persist()
     columns = describe(df)
     df.unpersist()
     decisions = [Decision("<file>", "delimiter", delimiter, sure, "from the first lines")]

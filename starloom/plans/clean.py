@@ -36,7 +36,7 @@ def read_source(spark: SparkSession, profile: DatasetProfile, root: str = "") ->
     path = str(profile.source_path) if not root or "://" in str(profile.source_path) else f"{root}/{profile.source_path}"
     if profile.source_format == "parquet":
         return spark.read.parquet(path)
-    return read_delimited(spark, path, profile.delimiter, profile.na_values)
+    return read_delimited(spark, path, profile.delimiter, profile.na_values, multiline=True)
 
 
 def clean(raw: DataFrame, profile: DatasetProfile) -> tuple[DataFrame, Lineage]:

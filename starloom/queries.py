@@ -425,19 +425,25 @@ def patient_record_id(t, spark):
 
 
 # 1.4 gold tables
-@query("SELECT * FROM (VALUES (1, 'customer', 'general', 'fact_customer'), (2, 'events', 'general', 'fact_events'), (3, 'orders', 'general', 'fact_orders')) v(dataset_id, dataset_name, domain, fact_table)")
+@query(f"WITH {_CLEAN_SQL} SELECT v.*, count(patient_record_id) AS patients FROM (VALUES (1, 'customer', 'general', 'fact_customer'), (2, 'events', 'general', 'fact_events'), (3, 'orders', 'general', 'fact_orders')) v(dataset_id, dataset_name, domain, fact_table) LEFT JOIN patient USING (dataset_id) GROUP BY ALL")
 def dim_dataset(t, spark):
-    return gold.dim_dataset(spark, PROFILES).select("dataset_id", "dataset_name", "domain", "fact_table")
+    return _with_patients(t, gold.dim_dataset(spark, PROFILES).select("dataset_id", "dataset_name", "domain", "fact_table"), "dataset_id")
 
 
-@query("SELECT * FROM (VALUES ('0-17', 1, CAST(0 AS DOUBLE), CAST(17.999 AS DOUBLE)), ('18-39', 2, 18, 39.999), ('40-59', 3, 40, 59.999), ('60-79', 4, 60, 79.999), ('80+', 5, 80, NULL)) v(age_bracket, sort_order, lower_age, upper_age)")
+def _with_patients(t, dim: DataFrame, key: str) -> DataFrame:
+    """A dimension with the number of patient records of each row."""
+    counts = _patients(t).groupBy(key).agg(F.count("*").alias("patients"))
+    return dim.join(counts, key, "left").withColumn("patients", F.coalesce("patients", F.lit(0)))
+
+
+@query(f"WITH {_CLEAN_SQL}, b AS (SELECT {_bracket_sql('age')} AS age_bracket FROM patient) SELECT v.*, count(b.age_bracket) AS patients FROM (VALUES ('0-17', 1, CAST(0 AS DOUBLE), CAST(17.999 AS DOUBLE)), ('18-39', 2, 18, 39.999), ('40-59', 3, 40, 59.999), ('60-79', 4, 60, 79.999), ('80+', 5, 80, NULL)) v(age_bracket, sort_order, lower_age, upper_age) LEFT JOIN b USING (age_bracket) GROUP BY ALL")
 def dim_age_bracket(t, spark):
-    return gold.dim_age_bracket(spark)
+    return _with_patients(t, gold.dim_age_bracket(spark), "age_bracket")
 
 
-@query("SELECT * FROM (VALUES (0, 'Female'), (1, 'Male'), (-1, 'Unknown')) v(gender_id, gender_code)")
+@query(f"WITH {_CLEAN_SQL} SELECT v.*, count(patient_record_id) AS patients FROM (VALUES (0, 'Female'), (1, 'Male'), (-1, 'Unknown')) v(gender_id, gender_code) LEFT JOIN patient USING (gender_id) GROUP BY ALL")
 def dim_gender(t, spark):
-    return gold.dim_gender(spark)
+    return _with_patients(t, gold.dim_gender(spark), "gender_id")
 
 
 @query(f"WITH {_CLEAN_SQL} SELECT patient_record_id, snapshot_id, dataset_id, source_record_num, round(age, 9) AS age, gender_id, {_bracket_sql('age')} AS age_bracket FROM patient")
@@ -637,3 +643,6 @@ QUERIES["audit_rows"], ORACLES["audit_rows"] = QUERIES.pop("audit_rows_query"),
 def rollup_band_label(t, spark):
     df = t("customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("long").alias("nation"), (F.col("c_acctbal") < 0).cast("int").alias("label"))
     return gold.band_rollup(df, "segment", "nation")
+
+
+from . import build_queries  # noqa: E402, F401  its queries join the catalogue

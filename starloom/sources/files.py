@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -86,4 +87,4 @@ class Files:
 
 def whole_path(path: str) -> str:
     """A URI or an absolute path as it is; a relative path from the working folder."""
-    return path.rstrip("/") if "://" in path or path.startswith("/") else os.path.abspath(path)
+    return path.rstrip("/") if path.startswith("/") or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) else os.path.abspath(path)
