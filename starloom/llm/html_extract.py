@@ -2,13 +2,15 @@
 
 Markup is stripped so that each block element becomes one line and each border of a grouping
 element (div, section, article, ...) an empty one.  A line weighs as much as it has characters
-outside links.  Elements that hold no article (nav, footer, form, ...) and lines of links weigh
-nothing; lines of an article or main element weigh ``SURGE`` more; outside those, a line whose
-class or id names boilerplate weighs ``NAMED`` of its length.  Weights are summed over windows of
-``WINDOW`` lines.  A passage surges where a line's window sums up to ``SURGE``, reaching back to
-the border before it, and dives at the first border whose window sums up to less.  The passages of
-the article are kept; on a page without one, those of at least ``SHARE`` of the longest passage and
-the unnamed lines between them.
+outside links, and a line of an article or main element ``HOME_WEIGHT`` times that.  Elements that
+hold no article (nav, footer, form, ...), what is hidden, reader comments and adverts inside an
+article and lines of links weigh nothing.  Other names of boilerplate are evidence only: outside an
+article a line so named weighs ``NAMED`` of its length, inside one it weighs its plain length, so a
+named section stays if its text surges by itself.  Weights are summed over windows of ``WINDOW``
+lines.  A passage surges where a line's window sums up to ``SURGE``, reaching back to the border
+before it, and dives at the first border whose window sums up to less.  The passages of the article
+are kept; on a page without one, those of at least ``SHARE`` of the longest passage and the unnamed
+lines between them.  On a page of short lines only, where nothing surges, the heaviest window does.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import column, map_texts
 
 #: Lines of a window, least sum of a surge, the part of its length that a named line weighs, and the share of the longest passage that makes another one part of the page's text.
 WINDOW, SURGE, NAMED, SHARE = 2, 86, 0.1, 0.25
+#: What a character of an article weighs: one makes a surge, as no part of an article may be lost.
+HOME_WEIGHT = 86
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +45,8 @@ CLOSED_BY_SIBLING = {"p": frozenset("address article aside blockquote details di
 BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disclaimer disqus dialog footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup privacy promo promoted promotion recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar tracking widget".split()
 )
+#: Words that name what is never part of an article, though it stands in one.
+FOREIGN_NAMES = frozenset("ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus footer login menu modal nav navbar navigation newsletter notice notices overlay pagination pager popup promo promoted replies reply respond share sharing sidebar signup sponsor sponsored subscribe toolbar tracking widget".split())
 
 # Every alternative takes all that it looks at (or the rest of the page), so a page is read once.
 _MARKUP = re.compile(
@@ -71,15 +77,21 @@ class _Open(NamedTuple):
 
 
 def _enter(tag: str, rest: str, outer: _Open) -> _Open:
-    """The element with what it inherits and what its own name and attributes say."""
+    """The element with what it inherits and what its own name and attributes say.
+
+    The names of an article itself say nothing, but those of one inside another do: comments are
+    marked up as articles too.
+    """
     home = outer.home or tag in HOME
     skip = outer.skip or tag in BOILER and not (tag == "header" and outer.home)
-    named = outer.named and not home
-    if rest and not rest.isspace() and tag not in HOME and tag not in ("html", "body"):
+    named = outer.named and (outer.home or not home)
+    if rest and not rest.isspace() and tag not in ("html", "body"):
         for name, *values in _ATTRIBUTE.findall(rest):
             name, value = name.lower(), "".join(values).lower()
-            if name in ("class", "id") and not BOILER_NAMES.isdisjoint(_NAME.findall(value)):
-                skip, named = skip or home, not home
+            if name in ("class", "id"):
+                words = _NAME.findall(value) if outer.home or tag not in HOME else ()
+                skip = skip or home and not FOREIGN_NAMES.isdisjoint(words)
+                named = named or not BOILER_NAMES.isdisjoint(words)
             elif name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 skip = True
     return _Open(tag, skip, named, home)
@@ -97,7 +109,8 @@ def lines_of(html: str) -> list[Line]:
         whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         if whole:
             inside = stack[-1]
-            weight = 0.0 if inside.skip else len(whole) + SURGE if inside.home else 0.0 if linked * 2 > len(whole) else (len(whole) - linked / 2) * (NAMED if inside.named else 1)
+            plain = 0.0 if inside.skip or linked * 2 > len(whole) and (inside.named or not inside.home) else max(1.0, len(whole) - linked / 2)
+            weight = plain * (1 if inside.home else NAMED) if inside.named else plain * (HOME_WEIGHT if inside.home else 1)
             lines.append(Line(whole, weight, inside.home, inside.named))
         if border:
             lines.append(Line("", 0.0))

@@ -26,4 +26,4 @@ def test_workers_need_no_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", CODE, str(ROOT), SF, str(tmp_path / "checkpoints")], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stderr[-3000:]
-    assert len([x for x in done.stdout.splitlines() if x.startswith(("op", "pipeline"))]) == 11
+    assert len([x for x in done.stdout.splitlines() if x.startswith(("op", "pipeline"))]) == 14

@@ -23,6 +23,9 @@ COLUMNS = {
     "op8_near_dedup": {"doc_id", "class_id"},
     "op9_substring_dedup": {"doc_id", "first_word", "end_word"},
     "op10_url_filters": {"page_id", "host", "path", "rule", "verdict"},
+    "op11_merkle_manifest": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
+    "op12_centroid_clustering": {"vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"},
+    "op13_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
 }
 
 
@@ -31,7 +34,7 @@ def test_query(spark, name):
     df = QUERIES[name](spark, SF)
     assert COLUMNS[name] <= set(df.columns)
     rows = df.collect()
-    documents = spark.read.parquet(f"{SF}/{'pages' if name in ('op1_html_extraction', 'op10_url_filters') else 'documents'}.parquet").count()
+    documents = spark.read.parquet(f"{SF}/{'pages' if name in ('op1_html_extraction', 'op10_url_filters') else 'embeddings' if name == 'op12_centroid_clustering' else 'documents'}.parquet").count()
     if name == "op4_best_fit_packing":
         assert len({r["doc_id"] for r in rows}) == documents
     elif name != "op9_substring_dedup":

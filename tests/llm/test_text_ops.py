@@ -193,6 +193,26 @@ def test_names_are_only_evidence(monkeypatch):
     assert html_extract.main_text(page.replace("article", "div")) == want
 
 
+def test_names_inside_an_article():
+    """Comments marked up as articles and hidden articles go; a section of another name stays if its text surges."""
+    long = "word " * 40
+    for inner, kept in (
+        (f"<article class=comment><p>{long}</p></article>", False),
+        (f"<article hidden><p>{long}</p></article>", False),
+        (f"<div class=comments><article><p>{long}</p></article></div>", False),
+        (f"<section class=privacy><p>{long}</p></section>", True),
+        (f"<div class=related-work><p>{long}</p></div>", True),
+        ("<div class=related-work><p>See also</p></div>", False),
+        (f"<div class=tags><a href=/a>{long}</a></div>", False),
+        (f"<article><p>{long}</p></article>", True),
+        ("<section><p>B</p></section>", True),
+    ):
+        got = html_extract.main_text(f"<article class=privacy><h1>Title</h1><p>{long}</p>{inner}<p>E</p></article>").split("\n")
+        text = long.strip() if long.strip() in inner else "See also" if "See" in inner else "B"
+        assert got == ["Title", long.strip(), *([text] if kept else []), "E"], inner
+    assert html_extract.main_text(f"<main hidden><p>{long}</p></main><div><p>Seen</p></div>") == "Seen"
+
+
 @pytest.mark.parametrize("piece", ['<a "', "<a '", "<a <", "<a ", '<a b="', '<a b=">" ', "<!--", "<script>", "</p", "<p>", "<div>", "</div><b>"])
 def test_extraction_is_linear(piece):
     page = piece * (1_000_000 // len(piece))
