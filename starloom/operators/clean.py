@@ -100,16 +100,17 @@ def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(to_double(ref(c), type_of(df, c)), F.lit(found[c])) for c in columns})
 
 
-def group_stats(df: DataFrame, column: str, label: Column) -> DataFrame:
-    """(band, median, missing) of the values of a column; a row without a band is in none.  The bands are those of a profile, so few."""
-    rows = df.select(label.alias("band"), to_double(ref(column), type_of(df, column)).alias("v")).filter("band is not null")
-    counts = rows.groupBy("band").agg(F.count_if(F.col("v").isNull()).alias("missing"))
-    middle = df.sparkSession.createDataFrame([(b, v[0]) for b, v in group_quantiles(rows, "band", "v", [0.5]).items()], "band string, median double")
+def group_stats(df: DataFrame, column: str, label: Column, without: bool = False) -> DataFrame:
+    """(band, median, missing) of the values of a column; a row without a band is in none, or counts as missing ``without`` one.  The bands are those of a profile, so few."""
+    rows = df.select(label.alias("band"), to_double(ref(column), type_of(df, column)).alias("v"))
+    banded = rows.filter("band is not null")
+    counts = (rows if without else banded).groupBy("band").agg(F.count_if(F.col("v").isNull()).alias("missing"))
+    middle = df.sparkSession.createDataFrame([(b, v[0]) for b, v in group_quantiles(banded, "band", "v", [0.5]).items()], "band string, median double")
     return counts.join(F.broadcast(middle), "band", "left").select("band", "median", "missing")
 
 
 def impute_grouped_median(df: DataFrame, column: str, rule: dict[str, Any]) -> tuple[DataFrame, list[dict]]:
-    """Nulls become the median of their band of another column, then, if asked for, that of the filled column.
+    """Nulls become the median of their band of another column, then, if asked for and any are left, that of the filled column.
 
     A value that is there always stays, whatever its band.  Also gives a report: for every band
     its median to 3 places and its missing values before.
@@ -117,14 +118,16 @@ def impute_grouped_median(df: DataFrame, column: str, rule: dict[str, Any]) -> t
     bands = [Band(str(b["label"]), parse_bound(b["upper_exclusive"])) for b in rule["group_bands"]]
     by = rule["group_source_column"]
     label = band(to_double(ref(by), type_of(df, by)), bands)
-    stats = {r["band"]: r for r in group_stats(df, column, label).collect()}
+    stats = {r["band"]: r for r in group_stats(df, column, label, without=True).collect()}
+    left = sum(r["missing"] for b, r in stats.items() if b is None or r["median"] is None)  # what no band fills
+    stats.pop(None, None)
     value, filled = to_double(ref(column), type_of(df, column)), None
     for name, r in sorted(stats.items()):
         if r["median"] is not None:
             hit = label == name
             filled = F.when(hit, r["median"]) if filled is None else filled.when(hit, r["median"])
     df = df.withColumn(column, F.coalesce(value, filled) if filled is not None else value)
-    if rule.get("fallback") == "global_median":
+    if rule.get("fallback") == "global_median" and left:
         df = impute_medians(df, [column])
     report = [{"band": b.label, "median": None if b.label not in stats or stats[b.label]["median"] is None else round(stats[b.label]["median"], 3), "missing": stats[b.label]["missing"] if b.label in stats else 0} for b in bands]
     return df, report
