@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -12,7 +13,7 @@ from ..functions.values import equals, ref, type_of
 from ..operators import clean as ops
 from ..operators.stats import duplicate_rows, missing_cells, value_counts
 from ..sources.delimited import read_delimited, strip_strings
-from .profile import DatasetProfile
+from .profile import DatasetProfile, TargetSpec
 
 
 @dataclass
@@ -76,18 +77,33 @@ def clean(raw: DataFrame, profile: DatasetProfile) -> tuple[DataFrame, Lineage]:
             log.drop_rules.append({"column": rule.column, "operator": rule.operator, "matched": row[f"n{i}"], "skipped": rule.column not in df.columns, "note": rule.note})
             log.removed_rows_total += row[f"n{i}"]
             log.removed_rows_positive += row[f"p{i}"]
-        df = df.filter(live)
 
+    df = row_level(df, profile, log.transformations.append, lambda d: _impute(d, profile, log))
+    if odd := ops.domain_violations(df, profile.columns):
+        raise ValueError(f"profile {profile.name}: values outside their domains: {odd}")
+    df, label = labelled(df, target), target.rename_to
+    if left := {c: n for c, n in ops.null_counts(df).items() if n}:
+        raise ValueError(f"profile {profile.name}: missing values remain after cleaning: {left}")
+    counts = df.agg(F.count("*").alias("n"), *([F.count_if(ref(label) == target.positive_int).alias("p"), F.count_if(ref(label) == target.negative_int).alias("q")] if label in df.columns else [])).first()
+    log.cleaned_rows, log.cleaned_columns = counts["n"], len(df.columns)
+    if label in df.columns:
+        log.cleaned_target = {"positive": counts["p"], "negative": counts["q"]}
+    return df, log
+
+
+def row_level(df: DataFrame, profile: DatasetProfile, note: Callable[[str], Any] = lambda said: None, fill: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Drop rows, drop columns, scale, fill, map what bands need, band, map: all but ``fill`` looks at one row at a time."""
+    for rule in profile.cleaning.drop_rows_where:
+        df = ops.drop_rows(df, rule)
     for spec in profile.columns:
         if spec.drop and spec.source in df.columns:
             df = df.drop(spec.source)
-            log.transformations.append(f"dropped column {spec.source}")
+            note(f"dropped column {spec.source}")
     for spec in profile.columns:
         if spec.scale_factor is not None and spec.source in df.columns:
             df = ops.scale(df, spec.source, spec.scale_factor)
-            log.transformations.append(f"scaled {spec.source} by {spec.scale_factor}")
-
-    df = _impute(df, profile, log)
+            note(f"scaled {spec.source} by {spec.scale_factor}")
+    df = fill(df)
     first = {s.source for s in profile.columns if s.mapped_first}
     for spec in profile.columns:
         if spec.source in first:
@@ -95,25 +111,20 @@ def clean(raw: DataFrame, profile: DatasetProfile) -> tuple[DataFrame, Lineage]:
     for h in profile.hierarchies:
         if h.source_column in df.columns:
             df = ops.add_bands(df, h.source_column, h.new_column, h.bands)
-            log.transformations.append(f"built hierarchy {h.new_column} from {h.source_column}")
+            note(f"built hierarchy {h.new_column} from {h.source_column}")
     for spec in profile.columns:
         if spec.source not in first:
             df = ops.apply_mapping(df, spec)
-    if odd := ops.domain_violations(df, profile.columns):
-        raise ValueError(f"profile {profile.name}: values outside their domains: {odd}")
+    return df
 
+
+def labelled(df: DataFrame, target: TargetSpec) -> DataFrame:
+    """The target under its new name, encoded; no change where it is absent."""
+    if target.column not in df.columns:
+        return df
     label = target.rename_to
-    if target.column in df.columns:
-        if label != target.column:
-            df = df.withColumnRenamed(target.column, label)
-        df = df.withColumn(label, ops.encode_label(ref(label), type_of(df, label), target))
-    if left := {c: n for c, n in ops.null_counts(df).items() if n}:
-        raise ValueError(f"profile {profile.name}: missing values remain after cleaning: {left}")
-    counts = df.agg(F.count("*").alias("n"), *([F.count_if(ref(label) == target.positive_int).alias("p"), F.count_if(ref(label) == target.negative_int).alias("q")] if label in df.columns else [])).first()
-    log.cleaned_rows, log.cleaned_columns = counts["n"], len(df.columns)
-    if label in df.columns:
-        log.cleaned_target = {"positive": counts["p"], "negative": counts["q"]}
-    return df, log
+    df = df.withColumnRenamed(target.column, label)
+    return df.withColumn(label, ops.encode_label(ref(label), type_of(df, label), target))
 
 
 def _impute(df: DataFrame, profile: DatasetProfile, log: Lineage) -> DataFrame:

@@ -13,16 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.values import ref, strip, to_double, to_long
+from .functions.values import strip
 from .inference import engine, providers
 from .inference.tables import RANGES
 from .operators import clean as ops
 from .operators import gold, keys, stats
 from .plans.governance import audit_rows, column_records, lineage_counts
-from .plans.clean import clean
+from .plans.clean import clean, labelled, row_level
 from .plans.warehouse import BUCKETS
 from .plans.profile import Band, ColumnSpec, DatasetProfile, DropRule, TargetSpec, parse_profile
-from .sources.delimited import na_to_null, read_delimited, replace_tokens
+from .sources.delimited import na_to_null, read_delimited, replace_tokens, type_counts
 
 cloudpickle.register_pickle_by_value(providers)  # workers need no copy of the package
 
@@ -108,19 +108,8 @@ KEY = {"customer": "c_custkey", "events": "event_id", "orders": "o_orderkey"}
 
 
 def _row_level(df: DataFrame, p: DatasetProfile) -> DataFrame:
-    """A profile's operators that need no other row, in order, with the encoded label; the source columns stay in place."""
-    for rule in p.cleaning.drop_rows_where:
-        df = ops.drop_rows(df, rule)
-    df = df.drop(*[c.source for c in p.columns if c.drop])
-    for c in p.columns:
-        if c.scale_factor is not None:
-            df = ops.scale(df, c.source, c.scale_factor)
-    for h in p.hierarchies:
-        df = ops.add_bands(df, h.source_column, h.new_column, h.bands)
-    for c in p.columns:
-        df = ops.apply_mapping(df, c)
-    df = df.withColumnRenamed(p.target.column, "label")
-    return df.withColumn("label", ops.encode_label(ref("label"), df.schema["label"].dataType, p.target))
+    """The clean plan's operators that need no other row, with the encoded label."""
+    return labelled(row_level(df, p), p.target)
 
 
 def _silver(t, p: DatasetProfile) -> DataFrame:
@@ -186,9 +175,10 @@ def na_tokens(t, spark):
     "SELECT col, count(v) AS n, count(TRY_CAST(v AS DOUBLE)) AS numbers, CAST(count(*) FILTER (regexp_full_match(v, '[+-]?[0-9]+')) AS BIGINT) AS whole FROM cells GROUP BY col"
 )
 def infer_types(t, spark):
+    """What type inference counts of each text column: cells, numbers, whole numbers."""
     text = t("part").select(*[F.col(c).cast("string").alias(c) for c in ("p_name", "p_size", "p_retailprice")])
-    cells = stats.unpivoted(text, text.columns).select(F.col("column").alias("col"), "value")
-    return cells.groupBy("col").agg(F.count("value").alias("n"), F.count(to_double(F.col("value"), STRING)).alias("numbers"), F.count(to_long(F.col("value"), STRING)).alias("whole"))
+    got = type_counts(text).first()
+    return spark.createDataFrame([(c, got[f"n{i}"], got[f"d{i}"], got[f"w{i}"]) for i, c in enumerate(text.columns)], "col string, n long, numbers long, whole long")
 
 
 # 2.2 row-level transforms

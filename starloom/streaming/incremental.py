@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..functions.values import ref, type_of
+from ..functions.values import ref
 from ..operators import clean as ops
+from ..plans.clean import labelled, row_level
 from ..plans.profile import DatasetProfile
 from ..sources.delimited import strip_strings
 
@@ -17,27 +17,14 @@ def clean_stream(rows: DataFrame, profile: DatasetProfile) -> DataFrame:
     if bad := [c.source for c in profile.columns if c.imputation and c.imputation.get("strategy") != "constant"]:
         raise ValueError(f"a stream cannot impute medians: {bad}")
     df = strip_strings(rows) if profile.cleaning.strip_whitespace else rows
-    for rule in profile.cleaning.drop_rows_where:
-        df = ops.drop_rows(df, rule)
-    df = df.drop(*[c.source for c in profile.columns if c.drop])
-    for spec in profile.columns:
-        if spec.source in df.columns:
-            if spec.scale_factor is not None:
-                df = ops.scale(df, spec.source, spec.scale_factor)
-            if spec.imputation:
+
+    def fill(df: DataFrame) -> DataFrame:
+        for spec in profile.columns:
+            if spec.imputation and spec.source in df.columns:
                 df = ops.impute_constant(df, spec.source, spec.imputation.get("value"))
-    mapped = [c for c in profile.columns if c.mapped_first]
-    for spec in mapped:
-        df = ops.apply_mapping(df, spec)
-    for h in profile.hierarchies:
-        df = ops.add_bands(df, h.source_column, h.new_column, h.bands)
-    for spec in profile.columns:
-        if spec not in mapped:
-            df = ops.apply_mapping(df, spec)
-    label, target = profile.target.rename_to, profile.target
-    if target.column != label:
-        df = df.withColumnRenamed(target.column, label)
-    return df.withColumn(label, ops.encode_label(ref(label), type_of(df, label), target)).filter(F.col(label).isNotNull())
+        return df
+
+    return labelled(row_level(df, profile, fill=fill), profile.target).filter(ref(profile.target.rename_to).isNotNull())
 
 
 def append_stream(rows: DataFrame, profile: DatasetProfile, path: str, checkpoint: str) -> DataStreamWriter:
