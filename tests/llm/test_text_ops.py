@@ -391,3 +391,15 @@ def test_local_search_goes_on_until_nothing_changes():
     lengths = [10] * 70 + [15]  # two pieces of a giver of many for one
     given, back = packing._exchange(list(range(70)), [70], lengths, 5)
     assert len(given) == 2 and back == (70,)
+
+
+# Capacity and lengths that best-fit decreasing packs into one sequence more than they need.
+STUBBORN = [(20, [8, 8, 7, 6, 6, 5]), (30, [14, 13, 12, 11, 10, 9, 5, 5, 4, 4]), (20, [12, 10, 10, 9, 9, 7, 7, 7, 4, 4, 4, 4, 4, 3, 3]), (100, [56, 46, 31, 24, 21, 14, 2])]
+
+
+@pytest.mark.parametrize(("capacity", "lengths"), STUBBORN)
+def test_the_search_saves_a_sequence(capacity, lengths):
+    packed = packing.best_fit(lengths, capacity)
+    better = packing.local_search([list(b) for b in packed], lengths, capacity)
+    assert len(packed) == -(-sum(lengths) // capacity) + 1 == len(better) + 1
+    assert sorted(i for b in better for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= capacity for b in better)
