@@ -386,6 +386,24 @@ def test_fuzzy_passages_recall(spark):
     assert len(want - got) <= 0.05 * len(want) and len(want) > 90  # some 3 in 100 keep no seed
 
 
+@pytest.mark.parametrize("every", [0, 8, 3])
+def test_planted_fuzzy_passages(spark, every):
+    """Pairs that share 80 words with one in ten replaced are found, also where lower documents quote 12 words of the passage from many places."""
+    rng, quotes, pairs = random.Random(50 + every), [], []
+    for _ in range(60):
+        passage = unique(rng, 80)
+        other = [w if rng.random() > 0.1 else f"x{rng.randrange(10**9)}" for w in passage]
+        for some in (passage, other):
+            before = rng.randrange(30, 80)
+            pairs.append((unique(rng, before) + some + unique(rng, 40), before))
+        quotes += [unique(rng, 30) + passage[at : at + 12] + unique(rng, 30) for at in range(0, 68, every)] if every else []
+    rows = [*quotes, *(w for w, _ in pairs)]
+    got = passages_of(spark, [(i, " ".join(w), "en") for i, w in enumerate(rows)])
+    seen = [any(min(e, at + 80) - max(s, at) >= 40 for s, e in got.get(len(quotes) + i, [])) for i, (_, at) in enumerate(pairs)]
+    assert sum(a and b for a, b in zip(seen[::2], seen[1::2], strict=True)) >= 54
+    assert not any(i in got for i in range(len(quotes)))  # a dozen words are no passage
+
+
 def test_hot_keys_change_nothing(spark, monkeypatch):
     rng = random.Random(35)
     passage, line = unique(rng, 60), unique(rng, 20)
