@@ -15,6 +15,7 @@ from starloom.inference import engine, providers
 from starloom.inference.emit import emit, flow, scalar
 from starloom.inference.providers import Chain, Column, Suggestion, chain_for, coerce, resolve_preset, tolerant_json
 from starloom.plans.profile import parse_profile
+from starloom.plans.warehouse import Warehouse
 
 #: A public file, if there is one.
 MATERNAL = Path(os.environ.get("STARLOOM_DATASETS", "datasets")) / "maternal_health_risk.csv"
@@ -174,7 +175,7 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert main(["inspect", str(tmp_path / "profiles/d.yaml"), "--root-dir", str(tmp_path)]) == 0
     assert [r["source_column"] for r in json.loads(capsys.readouterr().out)] == ["id", "age", "class"]
-    summary = spark.read.parquet(str(tmp_path / "out/gold/fact_d")).groupBy("label").count().collect()
+    summary = Warehouse(spark, tmp_path, tmp_path / "out").table("fact_d").groupBy("label").count().collect()
     assert sorted(map(tuple, summary)) == [(0, 40), (1, 40)]
 
 
@@ -210,6 +211,7 @@ def test_models_over_http(monkeypatch, tmp_path):
     assert path == "/api/generate" and body["options"]["temperature"] == 0 and body["format"] == "json" and '"median": 4.0' in body["prompt"]
     assert cloud.endswith(":generateContent") and key == "key" and asked["generationConfig"]["responseMimeType"] == "application/json"
     server.shutdown()
+    server.server_close()  # else the port still takes connections, and the call waits its five minutes
     assert Chain(["ollama"], "small", "m")(columns, ["bs"], "out", "f")[0] == {}
 
 
