@@ -140,7 +140,7 @@ def _records(lines: DataFrame, begun: dict[tuple[str, int], int], delimiter: str
     return lines.mapInArrow(run, "file string, start long, kind int, seq long, text string")
 
 
-def read_quoted(spark: SparkSession, path: str, delimiter: str = ",", plain=None, whole=None) -> DataFrame:
+def read_quoted(spark: SparkSession, path: str, delimiter: str, plain: DataFrame, whole: DataFrame) -> DataFrame:
     """Every column as text, in the order of the header and of the file.
 
     ``plain`` reads line by line and ``whole`` file by file; the first is used where no cell holds a line break, the
