@@ -104,8 +104,12 @@ def full_view(facts: DataFrame, patients: DataFrame, genders: DataFrame, dataset
 
 
 def stored_by_key(df: DataFrame, table: str, path: str, key: str, buckets: int) -> None:
-    """Append to a table whose files are bucketed and sorted by a key: joins of such tables on it move no rows."""
-    df.repartition(buckets, ref(key)).write.mode("append").bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    """Append to a table whose files are bucketed and sorted by a key: joins of such tables on it move no rows.
+
+    Rows are not moved here either: each task sorts what it has and writes a file for each bucket, so
+    what a task sorts is what it reads, however large the table is.
+    """
+    df.write.mode("append").bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
 
 
 def summary(facts: dict[str, DataFrame]) -> DataFrame:

@@ -16,12 +16,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.values import is_numeric, no_nan, ref, to_double, type_of
+from .keys import checkpoint_folder
 from .quantiles import quantiles
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of the package
 
 #: Values listed of a column; sample values; values drawn by hash; rows looked at before a whole pass for first values.
 TOP, SAMPLES, DRAWN, HEAD = 20, 5, 12, 1000
+#: Cells and different values that a task is to count; cells of a sample, and the part of it (one in so many) that makes a value frequent.
+IN_A_TASK, SAMPLED, FREQUENT = 1_000_000, 100_000, 1000
+#: Types whose values Spark hashes one to one to 64 bits.
+ONE_TO_ONE = (T.IntegralType, T.DoubleType, T.FloatType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 NUMBERS = ("min", "max", "mean", "median", "std", "q25", "q75")
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -41,13 +46,20 @@ def missing_cells(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier one; nulls are equal.
 
-    Rows are known by 128-bit digests, which alone are shuffled.  Rows whose digest comes again are
-    compared whole, so the count is exact.
+    Rows are known by 64-bit hashes, which alone are shuffled.  The hashes that come again are settled
+    first; only rows that have one are compared whole, so the count is exact.
     """
-    one, two = hashes(*[ref(c) for c in df.columns])
-    again = df.select(one.alias("__h"), two.alias("__g")).groupBy("__h", "__g").agg(F.count("*").alias("__n")).filter("__n > 1")
-    marked = df.select(one.alias("__h"), two.alias("__g"), F.struct(*[ref(c) for c in df.columns]).alias("__row"))
-    repeated = marked.join(again, ["__h", "__g"], "left_semi").groupBy("__row").agg(F.count("*").alias("__n"))
+    columns = [ref(c) for c in df.columns]
+    h = hashes(*columns)[0].alias("h")
+    told = df.agg(F.count("*").alias("n"), F.approx_count_distinct(h).alias("about")).first()
+    cells = df.select(F.lit(0).alias("i"), h, F.lit(None).cast("long").alias("g"))
+    checkpoint_folder(df.sparkSession)
+    again = _by_hash(cells, told["n"], [0] if told["about"] > IN_A_TASK else []).filter("n > 1").select(F.col("h").alias("__h")).checkpoint()
+    found = again.count()
+    if not found:
+        return df.sparkSession.createDataFrame([(0,)], "duplicates bigint")
+    marked = df.select(h.alias("__h"), F.struct(*columns).alias("__row"))
+    repeated = marked.join(F.broadcast(again) if found <= IN_A_TASK else again, "__h", "left_semi").groupBy("__row").agg(F.count("*").alias("__n"))
     return repeated.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicates"))
 
 
@@ -77,17 +89,40 @@ def fingerprint_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, there, h, g, d, whole): a row for each cell, by its two hashes and, of numbers, its value."""
+    """(i, h, g, d, whole): a row for each cell, by its hashes and, of numbers, its value; no hashes where nothing is there.
+
+    The 64-bit hash of a value of up to 64 bits is one to one, so a second hash is there of others only.
+    """
     cells = []
     for i, name in enumerate(columns):
         kind = type_of(df, name)
         c = no_nan(ref(name), kind)
-        one, two = hashes(F.when(c == 0, F.lit(0).cast(kind)).otherwise(c) if isinstance(kind, (T.DoubleType, T.FloatType)) else c)
+        same = F.when(c == 0, F.lit(0).cast(kind)).otherwise(c) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
+        one, two = (F.xxhash64(same), F.lit(None).cast("long")) if isinstance(kind, ONE_TO_ONE) else hashes(same)
         d = to_double(c, kind) if is_numeric(kind) else F.lit(None).cast("double")
-        cells.append(F.struct(F.lit(i).alias("i"), c.isNotNull().alias("there"), one.alias("h"), two.alias("g"), d.alias("d"), (d % 1 == 0).alias("whole")))
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(c.isNotNull(), one).alias("h"), F.when(c.isNotNull(), two).alias("g"), d.alias("d"), (d % 1 == 0).alias("whole")))
     return df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+def _by_hash(cells: DataFrame, total: int, many: list[int]) -> DataFrame:
+    """(i, h, n, g1, g2): cells, of which there are ``total``, by column and hash.
+
+    Tasks count their own cells first, but not those of columns with ``many`` values: these are dealt
+    as they are to tasks of about ``IN_A_TASK`` cells, so no task's table of values grows with the data.
+    Values that are frequent in a sample are counted first all the same, so none fills a task; the
+    sample only balances the work.
+    """
+    counts = [F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")]
+    if not many:
+        return cells.groupBy("i", "h").agg(*counts)
+    wide = F.col("i").isin(many)
+    sample = cells.filter(wide).sample(min(1.0, SAMPLED / max(total, 1)), seed=7)
+    frequent = [r["h"] for r in sample.groupBy("i", "h").agg(F.count("*").alias("n")).filter(F.col("n") * FREQUENT > SAMPLED).collect()]
+    dealt = wide & ~F.col("h").isin(frequent) if frequent else wide
+    alone = cells.filter(dealt).select("i", "h", "g").repartition(-(-total // IN_A_TASK), "h").groupBy("i", "h").agg(*counts)
+    return cells.filter(~dealt).groupBy("i", "h").agg(*counts).unionAll(alone)
+
+
 def column_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
     """For each column: rows, nulls, distinct values and whether all numbers are whole."""
     return {c: {k: r[k] for k in ("rows", "nulls", "distinct", "whole")} for c, r in column_records(df, columns).items()}
@@ -96,22 +131,29 @@ def column_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str,
 def column_records(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
     """For each column: rows, nulls, distinct values, whether all numbers are whole, least and greatest number, and hashes of some values.
 
-    One job for any number of columns: cells are counted by (column, 64-bit hash), of which each task
-    sends each pair once, and then by column.  A hash that two values share shows by their second
-    hashes; the values behind such hashes are then counted themselves.
+    Two passes for any number of columns: one gives a record for each column and task, with about how
+    many values there are; one counts cells by (column, 64-bit hash), which alone are shuffled, and then
+    by column.  A hash that two values share shows by their second hashes; the values behind such hashes
+    are then counted themselves.
     """
     columns = columns or df.columns
     cells = _cells(df, columns)
-    values = cells.groupBy("i", "there", "h").agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2"), F.min("d").alias("least"), F.max("d").alias("most"), F.min("whole").alias("whole"))
-    drawn = [F.min(F.when(F.col("there") & (F.pmod("h", F.lit(DRAWN)) == j), F.col("h"))).alias(f"s{j}") for j in range(DRAWN)]
-    records = values.groupBy("i").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("there"), F.col("n"))), F.lit(0)).alias("n"), F.count_if("there").alias("distinct"), F.count_if(F.col("there") & (F.col("g1") != F.col("g2"))).alias("clashes"), F.min("least").alias("min"), F.max("most").alias("max"), F.min("whole").alias("whole"), *drawn)
+    plain = cells.groupBy("i").agg(F.count("*").alias("rows"), F.count("h").alias("n"), F.min("d").alias("min"), F.max("d").alias("max"), F.min("whole").alias("whole"), F.approx_count_distinct("h").alias("about")).collect()
+    room, many = IN_A_TASK, []
+    for r in sorted(plain, key=lambda r: r["about"]):
+        room -= r["about"]
+        many += [r["i"]] if room < 0 else []
+    values = _by_hash(cells.filter("h is not null"), sum(r["n"] for r in plain if r["i"] in many), many)
+    drawn = [F.min(F.when(F.pmod("h", F.lit(DRAWN)) == j, F.col("h"))).alias(f"s{j}") for j in range(DRAWN)]
     none = {"rows": 0, "nulls": 0, "distinct": 0, "whole": False, "min": None, "max": None, "drawn": []}
     found, clashing = {c: dict(none) for c in columns}, []
-    for r in records.collect():
-        found[columns[r["i"]]] = {"rows": r["rows"], "nulls": r["rows"] - r["n"], "distinct": r["distinct"], "whole": bool(r["whole"]), "min": r["min"], "max": r["max"], "drawn": [r[f"s{j}"] for j in range(DRAWN) if r[f"s{j}"] is not None]}
+    for r in plain:
+        found[columns[r["i"]]] |= {"rows": r["rows"], "nulls": r["rows"] - r["n"], "whole": bool(r["whole"]), "min": r["min"], "max": r["max"]}
+    for r in values.groupBy("i").agg(F.count("*").alias("distinct"), F.count_if(F.col("g1") != F.col("g2")).alias("clashes"), *drawn).collect():
+        found[columns[r["i"]]] |= {"distinct": r["distinct"], "drawn": [r[f"s{j}"] for j in range(DRAWN) if r[f"s{j}"] is not None]}
         clashing += [r["i"]] if r["clashes"] else []
     for i in clashing:  # two values of a column share a 64-bit hash
-        shared = values.filter((F.col("i") == i) & F.col("there") & (F.col("g1") != F.col("g2"))).select(F.col("h").alias("__h"))
+        shared = values.filter((F.col("i") == i) & (F.col("g1") != F.col("g2"))).select(F.col("h").alias("__h"))
         c = no_nan(ref(columns[i]), type_of(df, columns[i]))
         behind = df.select(c.alias("c"), hashes(c)[0].alias("__h")).filter("c is not null").join(shared, "__h", "left_semi")
         true, told = behind.select("c").distinct().count(), shared.count()

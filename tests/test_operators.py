@@ -323,3 +323,44 @@ def test_quoted_breaks_by_splits(spark, tmp_path, split, eol, long):
 def test_states_of_lines():
     assert ends_inside('1,"a', False, ",") and not ends_inside('b",2', True, ",") and ends_inside('b"",2', True, ",")
     assert not ends_inside('5" pipe,x', False, ",") and not ends_inside('"a""b"', False, ",") and ends_inside('x;"', False, ";") and not ends_inside('x,"', False, ";")
+
+
+def shuffled(spark):
+    """Bytes that the session's tasks have written to shuffles."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    told = context.statusStore().executorList(False)
+    return sum(told.apply(i).totalShuffleWrite() for i in range(told.size()))
+
+
+def test_only_hashes_are_shuffled(spark, monkeypatch, tmp_path):
+    """Duplicate rows move a hash a row, distinct counts a hash a value, and stored tables nothing."""
+    n = 30_000
+    df = spark.range(n).select("id", (F.col("id") * 7).alias("k"), F.sha2(F.col("id").cast("string"), 512).alias("a"), F.sha2((-F.col("id")).cast("string"), 512).alias("b"))
+    for dealt in (False, True):
+        if dealt:
+            monkeypatch.setattr(stats, "IN_A_TASK", 1000)
+        before = shuffled(spark)
+        assert stats.duplicate_rows(df).first()[0] == 0
+        assert 0 < shuffled(spark) - before < 30 * n
+        before = shuffled(spark)
+        assert {c: r["distinct"] for c, r in stats.column_counts(df, ["id", "k"]).items()} == {"id": n, "k": n}
+        assert 0 < shuffled(spark) - before < 2 * 34 * n
+    before = shuffled(spark)
+    gold.stored_by_key(df, "stored_where_it_is", str(tmp_path / "stored"), "id", 4)
+    assert shuffled(spark) == before and spark.table("stored_where_it_is").count() == n
+    joined = spark.table("stored_where_it_is").hint("merge").join(spark.table("stored_where_it_is").select("id", F.col("k").alias("l")), "id")
+    before = shuffled(spark)
+    assert joined.agg(F.count_if(F.col("k") == F.col("l"))).first()[0] == n and shuffled(spark) - before < 10_000
+
+
+def test_values_that_are_dealt_count_the_same(spark, monkeypatch):
+    """Columns of many values are dealt by hash but for their frequent values; counts, extremes and duplicates stay exact."""
+    rows = [(i, float(i % 700), f"t{i if i % 3 else 0}", i if i % 2 else None) for i in range(2000)] + [(5, 5.0, "t5", 5)] * 300
+    df = spark.createDataFrame(rows, "a long, b double, c string, d int")
+    plain, repeated = stats.column_records(df), stats.duplicate_rows(df).first()[0]
+    assert repeated == len(rows) - len(set(rows))
+    assert {c: r["distinct"] for c, r in plain.items()} == {c: len({r[j] for r in rows} - {None}) for j, c in enumerate("abcd")}
+    monkeypatch.setattr(stats, "IN_A_TASK", 100)
+    monkeypatch.setattr(stats, "SAMPLED", 1000)
+    assert stats.column_records(df) == plain and stats.duplicate_rows(df).first()[0] == repeated
