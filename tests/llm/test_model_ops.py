@@ -462,3 +462,35 @@ def test_stage_list():
     assert line_dedup.BROADCAST_KEYS and packing.CAPACITY == 2048
     with pytest.raises(TypeError):
         corpus_pipeline.run()
+
+
+def test_pairs_without_a_passage_are_not_chained():
+    """A pair whose shared k-mers reach over fewer words than a passage is left at once; one that has a passage never is."""
+    rng = np.random.default_rng(5)
+    seen = {True: 0, False: 0}
+    for turn in range(300):
+        a, b = (rng.integers(1, 1 << 32, 200).astype(np.uint64) for _ in range(2))
+        some = rng.integers(8, 90)
+        i, j = rng.integers(0, 200 - some, 2)
+        b[j : j + some] = a[i : i + some]
+        if turn % 2:
+            b[rng.random(200) < 0.06] = 7
+        if turn % 3 == 0:
+            a[100:], b[100:] = np.resize(a[:9], 100), np.resize(a[:9], 100)
+        left, right = (substring_dedup.Sliced(np.array([0]), np.array([200]), x) for x in (a, b))
+        found = [x for t in (0, 2) for x in substring_dedup.join_spans([(*s[t : t + 2], 0) for s in substring_dedup.shared_spans(left, right)]) if x[1] - x[0] >= 50]
+        told = substring_dedup.may_share(left, right, 50)
+        assert told or not found
+        seen[told] += 1
+    assert min(seen.values()) > 50
+    many = substring_dedup.Sliced.many(np.array([2, 1]), np.array([3, 300, 0]), np.array([40, 7, 60]), np.arange(107))
+    alone = [substring_dedup.Sliced(np.array([3, 300]), np.array([40, 7]), np.arange(47)), substring_dedup.Sliced(np.array([0]), np.array([60]), np.arange(47, 107))]
+    assert all((vars(x)[k] == vars(y)[k]).all() for x, y in zip(many, alone, strict=True) for k in ("first", "begin", "words", "at", "kmers"))
+
+
+def test_hashes_of_long_runs():
+    words = np.random.default_rng(2).integers(0, 1 << 32, 120).astype(np.uint64)
+    words[70:] = words[:50]
+    for k in (22, 50, 64, 121):
+        h = substring_dedup.runs(words, k)
+        assert len(h) == max(0, 121 - k) and len(np.unique(h)) == len({words[i : i + k].tobytes() for i in range(len(h))})
